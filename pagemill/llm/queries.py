@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, fingerprints, jpeg, langid
+from pagemill.llm import bpe, fingerprints, jpeg, langid, secrets, toxicity
 from pagemill.llm.common import fold, table
 
 
@@ -25,6 +25,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs, ~held_out), held_out)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +41,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_progressive_jpeg, op4_language_id, op10_byte_bpe)
+    found = (op1_fingerprints, op2_progressive_jpeg, op4_language_id, op6_secret_scan, op8_toxicity, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
