@@ -153,3 +153,18 @@ def predict(docs: DataFrame, model: Filter, held_out: Column) -> DataFrame:
         return pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return map_batches(docs.select("doc_id", held_out.alias("held_out"), "text"), run, SCHEMA)
+
+
+def accepted(docs: DataFrame, model: Filter, least: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with a score of ``least`` or more;
+    ``lang`` becomes the prediction."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
+        langs = pa.array([lang for lang, _ in got], pa.string())
+        keep = pa.array([lang != UNKNOWN and s >= least for lang, s in got], pa.bool_())
+        names = batch.schema.names
+        return pa.record_batch([langs if n == "lang" else batch.column(n) for n in names], names=names).filter(keep)
+
+    return map_batches(docs, run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, fingerprints, jpeg, langid, secrets, toxicity
+from pagemill.llm import bpe, fingerprints, htmlblocks, jaccard, jpeg, langid, mixing, passages, secrets, toxicity
 from pagemill.llm.common import fold, table
 
 
@@ -19,21 +19,37 @@ def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
     return langid.predict(docs, langid.train(docs, ~held_out), held_out)
 
 
+def op5_lstm_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlblocks.extract(table(spark, sf_dir, "pages"), htmlblocks.train())
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_progressive_jpeg, op4_language_id, op6_secret_scan, op8_toxicity, op10_byte_bpe)
+    found = (op1_fingerprints, op2_progressive_jpeg, op3_temperature_mixing, op4_language_id, op5_lstm_extraction, op6_secret_scan, op7_compact_windows, op8_toxicity, op9_jaccard_join, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 

@@ -201,24 +201,42 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, cuts: int
     return Forest([tree(t, 1) for t in range(trees)])
 
 
-def _matches(text: Column) -> tuple[Column, Column]:
-    """The candidates of a text and the pieces between them."""
+def _split(text: Column) -> tuple[Column, Column]:
+    """The candidates of a text, and the pieces around them (one more)."""
     return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
 
 
-def candidates(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, and the arrays ``found`` and ``rest`` (one longer) that make up the text in turn."""
-    found, rest = _matches(F.coalesce("text", F.lit("")))
-    return docs.select(*keep, found.alias("found"), rest.alias("rest"))
+def _described(found: Column, rest: Column) -> Column:
+    """A struct of ordinal, found and its contexts for each candidate."""
+    return F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(i.alias("ordinal"), F.substring(F.get(rest, i), -CONTEXT, CONTEXT).alias("before"), F.get(found, i).alias("found"), F.substring(F.get(rest, i + 1), 1, CONTEXT).alias("after")))
 
 
 def findings(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """(doc_id, ordinal, kind, length, secret_sha256, score, secret) of every candidate: the digest
     of its value, the forest's score and whether that reaches ``threshold``."""
-    rows = candidates(docs, "doc_id").where(F.size("found") > 0)
-    item = F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.struct(i.alias("ordinal"), F.substring(F.get("rest", i), -CONTEXT, CONTEXT).alias("before"), F.get("found", i).alias("found"), F.substring(F.get("rest", i + 1), 1, CONTEXT).alias("after")))
-    one = rows.select("doc_id", F.explode(item).alias("c")).select("doc_id", "c.*")
+    found, rest = _split(F.col("text"))
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)).select("doc_id", found.alias("found"), rest.alias("rest"))
+    one = rows.select("doc_id", F.explode(_described(F.col("found"), F.col("rest"))).alias("c")).select("doc_id", "c.*")
     value = F.regexp_extract("found", _VALUE, 1)
     kind = F.when(F.col("found").startswith("-----BEGIN"), "private key").when(F.length(value) < F.length("found"), "assignment").otherwise("token")
     scored = one.select("doc_id", "ordinal", kind.alias("kind"), F.length(value).alias("length"), F.sha2(value, 256).alias("secret_sha256"), describe(F.col("before"), F.col("found"), F.col("after")).alias("f"))
     return scored.select("doc_id", "ordinal", "kind", "length", "secret_sha256", forest.score(F.col("f")).alias("score")).withColumn("secret", F.col("score") >= threshold)
+
+
+def redacted(docs: DataFrame, forest: Forest, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
+    """``docs``, all columns, with ``mask`` in place of each secret's value; ``n_chars`` follows."""
+    found, rest = _split(F.col("text"))
+
+    def cleaned(c: Column) -> Column:
+        value = F.regexp_extract(c["found"], _VALUE, 1)
+        name = F.substring(c["found"], F.lit(1), F.length(c["found"]) - F.length(value))
+        # the inner transform binds the features, so that each is computed once
+        score = F.get(F.transform(F.array(describe(c["before"], c["found"], c["after"])), forest.score), F.lit(0))
+        return F.when(score >= threshold, F.concat(name, F.lit(mask))).otherwise(c["found"])
+
+    parts = docs.withColumns({"__found": F.when(F.col("text").rlike(CANDIDATE), found), "__rest": F.when(F.col("text").rlike(CANDIDATE), rest)})
+    new = F.transform(_described(F.col("__found"), F.col("__rest")), cleaned)
+    joined = F.array_join(F.zip_with("__rest", new, lambda r, n: F.concat(r, F.coalesce(n, F.lit("")))), "")
+    text = F.when(F.col("__found").isNotNull(), joined).otherwise(F.col("text"))
+    out = parts.withColumn("text", text).drop("__found", "__rest")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
