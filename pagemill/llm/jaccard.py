@@ -210,7 +210,7 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, threshold: float = THRESH
 
     kept = cut(map_batches(pairs.join(left, "a").join(right, "b"), prune, "a long, b long"), "kept")
     wanted = kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct()
-    texts = docs.select(_id().alias("node"), "text").join(wanted, "node", "left_semi")
+    texts = docs.select(_id().alias("node"), "text").join(wanted.hint("shuffle_merge"), "node", "left_semi")  # one plan at every size
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column("node"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "s"])
@@ -246,7 +246,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     repeated rows of that id, one). Rows without an id are kept."""
     found = cut(join(docs, threshold), "classes")
     gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti")
     repeats = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if repeats.isEmpty():
         return kept.select(*docs.columns)
