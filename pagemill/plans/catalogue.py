@@ -4,12 +4,401 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from pagemill.functions import text as T
+from pagemill.operators import fonts, layout, sampling
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+WIDTH, HEIGHT, MOST_LINES = 1025, 1100, 40
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- derived inputs: lines, regions and words of documents ------------------------------------
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, pos = F.length("line"), F.col("pos")
+    x1, y1 = 40 + pos % 3 * 4, 30 + pos * 22 + F.floor(pos / 5) * 20
+    return lines(spark, sf_dir).where((pos < MOST_LINES) & (n > 0)).select(
+        F.col("doc_id").alias("page_id"), pos.cast("long").alias("region_idx"),
+        x1.cast("long").alias("x1"), y1.cast("long").alias("y1"), (x1 + F.least(n * 7, F.lit(900))).cast("long").alias("x2"), (y1 + 18).cast("long").alias("y2"),
+        F.col("line").alias("text"), F.when(pos == 0, "Title").when(n < 30, "Caption").otherwise("Text").alias("category"),
+        F.when(pos == 0, 24.0).otherwise(14.0).alias("ink_height"),
+    )
+
+
+def page_words(spark: SparkSession, sf_dir: str, most: int = 12) -> DataFrame:
+    """Words of the first lines, 7 pixels a character, with a wide gap after every eighth."""
+    w = Window.partitionBy("doc_id", "pos").orderBy("wpos").rowsBetween(Window.unboundedPreceding, -1)
+    split = lines(spark, sf_dir).where(F.col("pos") < most).select("doc_id", "pos", F.posexplode(F.split("line", " ")).alias("wpos", "word"))
+    x1 = F.lit(40) + F.coalesce(F.sum(F.length("word") * 7 + 7 + F.when(F.col("wpos") % 8 == 7, 40).otherwise(0)).over(w), F.lit(0))
+    rows = split.withColumn("x1", x1).where("word <> ''")
+    y1 = 30 + F.col("pos") * 22 + F.floor(F.col("pos") / 5) * 20
+    return rows.select(F.col("doc_id").alias("page_id"), F.col("pos").cast("long").alias("row"), (F.col("pos") * 100000 + F.col("wpos")).cast("long").alias("region_idx"), F.col("x1").cast("long").alias("x1"), y1.cast("long").alias("y1"), (F.col("x1") + F.length("word") * 7).cast("long").alias("x2"), (y1 + 18).cast("long").alias("y2"), F.col("word").alias("text"), F.lit("Text").alias("category"), F.lit(14.0).alias("ink_height"))
+
+
+_LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
+_R = _LINES + """, r AS (SELECT doc_id AS page_id, pos AS region_idx, 40 + pos % 3 * 4 AS x1, 30 + pos * 22 + pos // 5 * 20 AS y1,
+ 40 + pos % 3 * 4 + least(length(line) * 7, 900) AS x2, 48 + pos * 22 + pos // 5 * 20 AS y2, line AS text,
+ CASE WHEN pos = 0 THEN 'Title' WHEN length(line) < 30 THEN 'Caption' ELSE 'Text' END AS category,
+ CASE WHEN pos = 0 THEN 24.0::DOUBLE ELSE 14.0::DOUBLE END AS ink_height FROM lines WHERE pos < 40 AND length(line) > 0)"""
+_WORDS = _LINES + """, w0 AS (SELECT doc_id, pos, unnest(range(len(l))) AS wpos, unnest(l) AS word FROM (SELECT doc_id, pos, str_split(line, ' ') AS l FROM lines WHERE pos < 12)),
+ w1 AS (SELECT *, 40 + coalesce(sum(length(word) * 7 + 7 + CASE WHEN wpos % 8 = 7 THEN 40 ELSE 0 END) OVER (PARTITION BY doc_id, pos ORDER BY wpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x1 FROM w0),
+ words AS (SELECT doc_id AS page_id, pos AS row, pos * 100000 + wpos AS region_idx, x1, x1 + length(word) * 7 AS x2, word AS text FROM w1 WHERE word <> '')"""
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\p{{Z}}\t-\r\x1c-\x20\x{{85}}]+|[\p{{Z}}\t-\r\x1c-\x20\x{{85}}]+$', '', 'g')"
+
+
+# -- text -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos::BIGINT AS pos, regexp_matches(line, '[A-Za-z{T.THAI}]{{2,}}') AS has_words FROM lines")
+def q_has_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), T.has_words(F.col("line")).alias("has_words"))
+
+
+_GARBAGE = "CASE WHEN length(t) < 3 THEN false WHEN len(regexp_extract_all(t, '[A-Za-z]{3,}|[" + T.THAI + "]{3,}')) >= 2 THEN false ELSE len(list_filter(regexp_split_to_array(t, '[\\p{Z}\\t-\\r\\x1c-\\x20\\x{85}]+'), lambda x: regexp_full_match(x, '[" + T.MOJIBAKE + "]'))) >= 3 OR (length(t) - length(regexp_replace(t, '[" + T.MOJIBAKE + "]', '', 'g'))) / length(t) > 0.25 END"
+_MANGLED = f"CASE WHEN pos % 3 = 1 THEN translate(substr(line, 1, 12), 'aeioutnrs', '{T.MOJIBAKE[:9]}') ELSE line END"
+
+
+@query(f"WITH {_LINES}, m AS (SELECT doc_id, pos, {_strip(_MANGLED)} AS t FROM lines) SELECT doc_id, pos::BIGINT AS pos, {_GARBAGE} AS garbage FROM m")
+def q_looks_like_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mangled = F.when(F.col("pos") % 3 == 1, F.translate(F.substring("line", 1, 12), "aeioutnrs", T.MOJIBAKE[:9])).otherwise(F.col("line"))
+    return lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), T.looks_like_garbage(mangled).alias("garbage"))
+
+
+@query("SELECT conv_id, turn, length(reply) > 3 * length(text) + 10 AS disproportionate FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations)")
+def q_disproportionate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    reply = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return turns.withColumn("reply", reply).select("conv_id", "turn", T.is_disproportionate(F.col("text"), F.col("reply")).alias("disproportionate"))
+
+
+_REPLY = "CASE turn % 4 WHEN 0 THEN '  \"' || text || '\"' WHEN 1 THEN '“' || text || '”' WHEN 2 THEN 'Please provide the text. ' || text ELSE text END"
+
+
+@query(f"WITH a AS (SELECT conv_id, turn, {_strip(_REPLY)} AS t FROM conversations), b AS (SELECT conv_id, turn, CASE WHEN length(t) >= 2 AND regexp_matches(t, '^[\"''“”„«»]') AND t[1] = t[-1] THEN {_strip('substr(t, 2, length(t) - 2)')} ELSE t END AS t FROM a) SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?i){T.REFUSAL}') THEN '' ELSE t END AS cleaned FROM b")
+def q_clean_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, k = F.col("text"), F.col("turn") % 4
+    reply = F.when(k == 0, F.concat(F.lit('  "'), t, F.lit('"'))).when(k == 1, F.concat(F.lit("“"), t, F.lit("”"))).when(k == 2, F.concat(F.lit("Please provide the text. "), t)).otherwise(t)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_reply(reply).alias("cleaned"))
+
+
+_THAI = ["แล้ว ปุ๋ยเคมี", "รายงานประจำปี ๒๕๖๗", "น้ำใจ คำ สำหรับ", "เก่ง ที่สุด 2023", "ไทย and 1999"]
+_THAI_SQL = "thai AS (SELECT doc_id, CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_THAI)) + " END AS text FROM documents)"
+
+
+def _thai(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = F.element_at(F.array(*[F.lit(t) for t in _THAI]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", pick.alias("text"))
+
+
+_SPANS = f"WITH {_THAI_SQL}, c AS (SELECT doc_id, length(text) AS n, unnest(range(len(l))) AS pos, unnest(l) AS cluster FROM (SELECT doc_id, text, regexp_extract_all(text, '{T.CLUSTER}') AS l FROM thai)), s AS (SELECT *, coalesce(sum(length(cluster)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c)"
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _thai(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("n"), F.posexplode(T.clusters(F.col("text"))).alias("pos", "cluster"))
+    return rows.withColumn("start", F.coalesce(F.sum(F.length("cluster")).over(w), F.lit(0)).cast("long"))
+
+
+@query(_SPANS + " SELECT doc_id, start, cluster FROM s")
+def q_cluster_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).select("doc_id", "start", "cluster")
+
+
+@query(_SPANS + ' SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n)::BIGINT AS "end" FROM s')
+def q_span_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fonts.span_ends(_spans(spark, sf_dir), "doc_id").select("doc_id", "start", F.col("end").cast("long").alias("end"))
+
+
+@query(_SPANS + f" SELECT doc_id, start, (1 + regexp_matches(cluster, '[{T.BELOW}]')::INT + regexp_matches(cluster, '[{T.ABOVE_VOWELS}]')::INT + regexp_matches(cluster, '[{T.TONES}{T.THANTHAKHAT}]')::INT)::INT AS depth FROM s")
+def q_stack_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).select("doc_id", "start", T.stack_depth(F.col("cluster")).cast("int").alias("depth"))
+
+
+@query(f"WITH {_THAI_SQL}, c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM thai) SELECT doc_id, CASE WHEN regexp_full_match(ch, '[{T.ABOVE}]') THEN 'above' WHEN regexp_full_match(ch, '[{T.BELOW}]') THEN 'below' ELSE 'main' END AS band, count(*) AS n FROM c GROUP BY ALL")
+def q_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = _thai(spark, sf_dir).select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
+    return chars.groupBy("doc_id", T.band(F.col("ch")).alias("band")).agg(F.count("*").alias("n"))
+
+
+_YEARS = "'in ' || (1900 + doc_id % 200) || ' and ' || n_chars || ' or ' || (19000 + doc_id % 7)"
+_BE = "array_to_string(list_transform(regexp_extract_all(t, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_full_match(x, '(19|20)[0-9]{2}') THEN (x::INT + 543)::VARCHAR ELSE x END), '')"
+_TH = f"translate({{}}, '0123456789', '{T.THAI_DIGITS}')"
+
+
+def _years() -> F.Column:
+    return F.concat(F.lit("in "), 1900 + F.col("doc_id") % 200, F.lit(" and "), F.col("n_chars"), F.lit(" or "), 19000 + F.col("doc_id") % 7)
+
+
+@query(f"WITH y AS (SELECT doc_id, {_YEARS} AS t FROM documents) SELECT doc_id, {_BE} AS be FROM y")
+def q_years_to_be(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.years_to_be(_years()).alias("be"))
+
+
+@query(f"SELECT doc_id, {_TH.format(_YEARS)} AS digits FROM documents")
+def q_thai_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.to_thai_digits(_years()).alias("digits"))
+
+
+@query(f"WITH y AS (SELECT doc_id, {_YEARS} AS t FROM documents), e AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_BE} ELSE t END AS t FROM y) SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_TH.format('t')} ELSE t END AS local FROM e")
+def q_apply_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.apply_locale(_years(), F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0).alias("local"))
+
+
+_JSON = r"""replace(replace(replace(replace(replace({}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+
+
+@query(f"SELECT doc_id, sha256('\"' || lang || '\"' || '\"' || {_JSON.format('text')} || '\"')[1:20] AS cache_key FROM documents")
+def q_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.cache_key(F.col("lang"), F.col("text")).alias("cache_key"))
+
+
+@query("SELECT conv_id, left(string_agg(text, ' | ' ORDER BY turn), 400) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 6 GROUP BY conv_id")
+def q_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    first = table(spark, sf_dir, "conversations").withColumn("k", k).where("k <= 6")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda s: s["text"])
+    return first.groupBy("conv_id").agg(F.substring(F.array_join(texts, " | "), 1, 400).alias("context"))
+
+
+@query(f"WITH {_LINES}, a AS (SELECT doc_id, pos, line, {_strip('line')} AS t, {_strip("CASE WHEN pos % 4 = 0 THEN '\"' || line || '\"' WHEN pos % 4 = 1 THEN repeat(line, 5) ELSE line || '.' END")} AS r0 FROM lines), b AS (SELECT *, CASE WHEN length(r0) >= 2 AND regexp_matches(r0, '^[\"''“”„«»]') AND r0[1] = r0[-1] THEN {_strip('substr(r0, 2, length(r0) - 2)')} ELSE r0 END AS r1 FROM a), c AS (SELECT *, CASE WHEN regexp_matches(r1, '(?i){T.REFUSAL}') THEN '' ELSE r1 END AS r FROM b) SELECT doc_id, pos::BIGINT AS pos, CASE WHEN t = '' OR {_GARBAGE} THEN '' WHEN NOT regexp_matches(line, '[A-Za-z{T.THAI}]{{2,}}') THEN line WHEN length(r) > 3 * length(line) + 10 THEN line ELSE r END AS shown FROM c")
+def q_translate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, k = F.col("line"), F.col("pos") % 4
+    reply = F.when(k == 0, F.concat(F.lit('"'), line, F.lit('"'))).when(k == 1, F.repeat(line, 5)).otherwise(F.concat(line, F.lit(".")))
+    return lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), T.translate_gate(line, reply).alias("shown"))
+
+
+@query("SELECT d.doc_id, d.n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 2 = 0 AND sha256(k.text) = sha256(d.text))")
+def q_cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("key"))
+    return docs.join(docs.where("doc_id % 2 = 0").select("key").distinct(), "key", "left_anti").select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'glyph' END, CASE WHEN doc_id % 2 = 0 THEN 'font' END) AS renderer FROM documents")
+def q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.when(F.col("doc_id") % 3 == 0, "glyph"), F.when(F.col("doc_id") % 2 == 0, "font")).alias("renderer"))
+
+
+# -- layout -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_R}, c AS (SELECT page_id, region_idx, text, greatest(0, least(x1 - 45, 900)) AS x1, greatest(0, least(y1, 600)) AS y1, greatest(0, least(x2 - 45, 900)) AS x2, greatest(0, least(y2, 600)) AS y2 FROM r) SELECT page_id, region_idx, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2 FROM c WHERE {_strip('text')} <> '' AND x2 - x1 >= 3 AND y2 - y1 >= 3")
+def q_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = page_regions(spark, sf_dir).withColumns({"x1": F.col("x1") - 45, "x2": F.col("x2") - 45})
+    return layout.clip(moved, F.lit(900), F.lit(600)).select("page_id", "region_idx", *layout.BOX)
+
+
+@query(f"WITH {_WORDS}, g AS (SELECT *, CASE WHEN x1 - lag(x2) OVER (PARTITION BY page_id, row ORDER BY x1, region_idx) > 30 THEN 1 ELSE 0 END AS new FROM words) SELECT page_id, row, region_idx, (sum(new) OVER (PARTITION BY page_id, row ORDER BY x1, region_idx))::BIGINT AS segment FROM g")
+def q_row_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.row_segments(page_words(spark, sf_dir), "page_id", "row").select("page_id", "row", "region_idx", "segment")
+
+
+@query(f"WITH {_R} SELECT page_id, category, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, {_strip("string_agg(text, ' ' ORDER BY region_idx)")} AS text, coalesce(min(nullif(ink_height, 0)), 0) AS ink_height FROM r GROUP BY page_id, category")
+def q_union_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = page_regions(spark, sf_dir)
+    return layout.union_boxes(r.withColumn("kind", F.col("category")), "page_id", "kind").drop("category").withColumnRenamed("kind", "category")
+
+
+@query(f"WITH {_R} SELECT page_id, region_idx, round_even(x1 * (700.0::DOUBLE / 1100), 0)::INT AS x1, round_even(y1 * (700.0::DOUBLE / 1100), 0)::INT AS y1, round_even(x2 * (700.0::DOUBLE / 1100), 0)::INT AS x2, round_even(y2 * (700.0::DOUBLE / 1100), 0)::INT AS y2 FROM r")
+def q_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.downscale(page_regions(spark, sf_dir), F.lit(WIDTH), F.lit(HEIGHT), 700).select("page_id", "region_idx", *layout.BOX)
+
+
+@query(f"WITH {_R} SELECT page_id, region_idx, greatest(4, round_even((x2 - x1) * 0.9::DOUBLE, 0)::INT) AS width, greatest(4, round_even((y2 - y1) * 0.9::DOUBLE, 0)::INT) AS height FROM r")
+def q_request_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = page_regions(spark, sf_dir)
+    return r.select("page_id", "region_idx", layout.request_size(F.col("x2") - F.col("x1"), F.lit(0.1)).alias("width"), layout.request_size(F.col("y2") - F.col("y1"), F.lit(0.1)).alias("height"))
+
+
+_PLACE = f"WITH {_R}, i AS (SELECT *, length(text) * 6 AS iw, 10 + (region_idx * 5) % 14 AS ih FROM r), s AS (SELECT *, y2 - y1 - ih AS slack FROM i), p AS (SELECT page_id, region_idx, text, x1 + greatest(0, floor((x2 - x1 - iw) / 2))::BIGINT AS x, y1 + CASE WHEN slack BETWEEN 0 AND 12 THEN slack // 2 ELSE greatest(1, round_even((y2 - y1) * 0.1::DOUBLE / 2, 0)::BIGINT) END AS y, iw <= x2 - x1 + 1 AND ih <= y2 - y1 + 1 AS fit FROM s)"
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.place(page_regions(spark, sf_dir), F.length("text") * 6, 10 + F.col("region_idx") * 5 % 14, 0.1)
+
+
+@query(_PLACE + " SELECT page_id, region_idx, x, y::BIGINT AS y, fit FROM p")
+def q_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir).select("page_id", "region_idx", "x", "y", "fit")
+
+
+@query(f"WITH {_R} SELECT page_id, region_idx, (40 + coalesce(sum(y2 - y1 + 24) OVER (PARTITION BY page_id ORDER BY region_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS top FROM r")
+def q_stack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.stack(page_regions(spark, sf_dir)).select("page_id", "region_idx", "top")
+
+
+@query(f"WITH {_R} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, region_idx) - 1 AS place, round_even(x1 * 1000 / 1025.0::DOUBLE, 0)::INT AS x1, round_even(y1 * 1000 / 1100.0::DOUBLE, 0)::INT AS y1, round_even(x2 * 1000 / 1025.0::DOUBLE, 0)::INT AS x2, round_even(y2 * 1000 / 1100.0::DOUBLE, 0)::INT AS y2, category, text FROM r WHERE {_strip('text')} <> ''")
+def q_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_records(page_regions(spark, sf_dir), F.lit(WIDTH), F.lit(HEIGHT))
+
+
+@query(_PLACE + " SELECT page_id, avg(fit::INT)::DOUBLE AS fit_rate, count(*) AS regions FROM p GROUP BY page_id")
+def q_fit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.fit_rates(_placed(spark, sf_dir))
+
+
+@query(_PLACE + " SELECT page_id, count(*) AS regions FROM p GROUP BY page_id HAVING avg(fit::INT) >= 0.5")
+def q_min_fit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.fit_rates(_placed(spark, sf_dir)).where("fit_rate >= 0.5").select("page_id", "regions")
+
+
+@query(_PLACE + f", g AS (SELECT page_id, count(*) AS n, sum(fit::INT) AS ok, sum(({_strip('text')} = '')::INT) AS blank FROM p GROUP BY page_id), o AS (SELECT *, ok / n < 0.5 AS rejected FROM g) SELECT count(*) FILTER (NOT rejected) AS pages, coalesce(sum(n) FILTER (NOT rejected), 0)::BIGINT AS regions, coalesce(sum(ok) FILTER (NOT rejected), 0)::BIGINT AS fitted, coalesce(sum(blank) FILTER (NOT rejected), 0)::BIGINT AS empty, count(*) FILTER (rejected) AS rejected, coalesce(sum(ok) FILTER (NOT rejected) / sum(n) FILTER (NOT rejected), 1)::DOUBLE AS fit_rate FROM o")
+def q_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.run_report(_placed(spark, sf_dir), 0.5)
+
+
+@query(f"WITH {_R}, s AS (SELECT page_id, region_idx, max(size) AS size FROM (SELECT *, unnest(range(6, 25)) AS size FROM r) WHERE floor((x2 - x1) * 2 / size) >= 1 AND ceil(length(text) / greatest(floor((x2 - x1) * 2 / size), 1)) * size * 1.25 <= (y2 - y1) * 3 GROUP BY ALL) SELECT r.page_id, r.region_idx, coalesce(s.size, 6)::INT AS size FROM r LEFT JOIN s USING (page_id, region_idx)")
+def q_fit_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = page_regions(spark, sf_dir)
+    return r.select("page_id", "region_idx", layout.fit_size(F.col("x2") - F.col("x1"), (F.col("y2") - F.col("y1")) * 3, F.length("text")).alias("size"))
+
+
+@query(f"WITH {_R} SELECT r.page_id, r.region_idx, r.text || '/' || t.lang AS joined FROM r JOIN documents t ON t.doc_id = r.page_id")
+def q_zip_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "lang")
+    return page_regions(spark, sf_dir).join(docs, "page_id").select("page_id", "region_idx", F.concat("text", F.lit("/"), "lang").alias("joined"))
+
+
+@query()
+def q_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_regions(spark, sf_dir).select("page_id", "region_idx", F.posexplode(layout.wrap(F.col("text"), 60)).alias("line", "text"))
+
+
+@query()
+def q_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.group_rows(page_words(spark, sf_dir))
+
+
+@query()
+def q_merge_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.merge_wrapped(page_regions(spark, sf_dir))
+
+
+# -- sources ----------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, event_type, coalesce(trunc(json_extract_string(props, '$.k')::DOUBLE)::INT, 0) AS k, coalesce(json_extract_string(props, '$.id'), event_id::VARCHAR) AS id FROM events")
+def q_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.from_json("props", "k double, id string")
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.coalesce(p["k"].cast("int"), F.lit(0)).alias("k"), F.coalesce(p["id"], F.col("event_id").cast("string")).alias("id"))
+
+
+@query(f"WITH {_R}, a AS (SELECT page_id, list(text ORDER BY region_idx) AS t, list(category ORDER BY region_idx) AS c, list(region_idx ORDER BY region_idx) AS i FROM r GROUP BY page_id), z AS (SELECT page_id, unnest(i) AS region_idx, unnest(t) AS text, unnest(c) AS category FROM a) SELECT * FROM z WHERE category <> 'Caption'")
+def q_columnar_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = F.array_sort(F.collect_list(F.struct("region_idx", "text", "category")))
+    of = lambda c: F.transform("rows", lambda r: r[c]).alias(c)
+    pages = page_regions(spark, sf_dir).groupBy("page_id").agg(by.alias("rows")).select("page_id", of("region_idx"), of("text"), of("category"))
+    rows = pages.select("page_id", F.filter(F.arrays_zip("region_idx", "text", "category"), lambda r: r["category"] != "Caption").alias("rows"))
+    return rows.select("page_id", F.explode("rows").alias("r")).select("page_id", "r.*")
+
+
+@query(f"WITH {_R}, b AS (SELECT page_id, region_idx, (x1 - 50.5)::DOUBLE AS x, (y1 * 1.25)::DOUBLE AS y, (x2 - x1 + 0.75)::DOUBLE AS w, 18.5::DOUBLE AS h FROM r) SELECT page_id, region_idx, greatest(0, trunc(x)::INT) AS x1, greatest(0, trunc(y)::INT) AS y1, least(1025, trunc(x + w)::INT) AS x2, least(1100, trunc(y + h)::INT) AS y2 FROM b")
+def q_xyxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = page_regions(spark, sf_dir)
+    x, y = (F.col("x1") - 50.5).cast("double"), (F.col("y1") * 1.25).cast("double")
+    w, h = (F.col("x2") - F.col("x1") + 0.75).cast("double"), F.lit(18.5)
+    return r.select("page_id", "region_idx", F.greatest(F.lit(0), x.cast("int")).alias("x1"), F.greatest(F.lit(0), y.cast("int")).alias("y1"), F.least(F.lit(WIDTH), (x + w).cast("int")).alias("x2"), F.least(F.lit(HEIGHT), (y + h).cast("int")).alias("y2"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.85), 6) AS p85, round(quantile_cont(value, 0.15), 6) AS p15, round(median(value), 6) AS p50, round(stddev_pop(value), 6) AS spread FROM events GROUP BY event_type")
+def q_percentile_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.85).alias("p85"), p(0.15).alias("p15"), p(0.5).alias("p50"), F.round(F.stddev_pop("value"), 6).alias("spread"))
+
+
+# -- dimensions -------------------------------------------------------------------------------
+
+_BANK = "bank AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}', '{c}', {w}, {str(it).lower()})" for i, (f, c, w, it) in enumerate(fonts.FACES)) + ") t(pos, family, category, weight, italic))"
+_NAMES = ["sarabun", "NOTO-sans thai", "Tlwg_Mono", "no such family"]
+_GLYPHS = "glyphs AS (SELECT DISTINCT char FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS char FROM benchmark))"
+
+
+def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("char")).where("char <> ''").distinct()
+
+
+@query(f"WITH {_BANK}, k AS (SELECT *, regexp_replace(lower(family), '[^a-z0-9]', '', 'g') AS key FROM bank), b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY italic, abs(weight - 400), pos) = 1), w AS (SELECT doc_id, CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END AS name FROM documents) SELECT doc_id, name, family, category, weight FROM w LEFT JOIN b ON regexp_replace(lower(name), '[^a-z0-9]', '', 'g') = key")
+def q_font_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return fonts.find(table(spark, sf_dir, "documents").select("doc_id", name.alias("name")), fonts.bank(spark))
+
+
+@query(f"WITH {_BANK}, h AS (SELECT category, family, italic, max(weight) AS bold FROM bank WHERE weight >= 600 GROUP BY ALL) SELECT pos::BIGINT AS pos, family, category, weight, coalesce(bold, weight) AS bold_weight FROM bank LEFT JOIN h USING (category, family, italic)")
+def q_font_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fonts.bold_variant(fonts.bank(spark))
+
+
+@query(f"WITH {_BANK} SELECT category, count(*) AS faces, count(DISTINCT family) AS families FROM bank GROUP BY ROLLUP (category)")
+def q_font_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fonts.summary(fonts.bank(spark))
+
+
+@query(f"WITH {_GLYPHS}, c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS char FROM documents) SELECT doc_id, count(*) AS code_points FROM c WHERE char NOT IN (SELECT char FROM glyphs) GROUP BY doc_id")
+def q_missing_cp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fonts.missing(table(spark, sf_dir, "documents"), _glyphs(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_GLYPHS}, c AS (SELECT lang, unnest(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]')) AS char FROM documents) SELECT lang, round(avg((char IN (SELECT char FROM glyphs WHERE char < 'n'))::INT), 9)::DOUBLE AS coverage FROM c GROUP BY lang")
+def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fonts.coverage(table(spark, sf_dir, "documents"), _glyphs(spark, sf_dir).where("char < 'n'"), "lang")
+    return found.select("lang", F.round("coverage", 9).alias("coverage"))
+
+
+# -- draws ------------------------------------------------------------------------------------
+
+
+def _page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the test data are numbered by their ids, which are dense."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_idx"))
+
+
+@query()
+def q_sample_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_index(spark, sf_dir).select("page_idx", sampling.locale_of(F.col("page_idx")).alias("d")).select("page_idx", "d.*")
+
+
+@query()
+def q_sample_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = [(f"{c}/{f}-{w}", f, c, w, it) for f, c, w, it in fonts.FACES]
+    return _page_index(spark, sf_dir).select("page_idx", sampling.style_of(F.col("page_idx"), (F.col("page_idx") % 40).cast("int"), faces).alias("d")).select("page_idx", "d.*")
+
+
+@query()
+def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of each page clipped, joined to paragraphs, localised by page and normalised."""
+    blocks = layout.merge_wrapped(layout.clip(page_regions(spark, sf_dir), F.lit(WIDTH), F.lit(HEIGHT)))
+    drawn = blocks.withColumn("d", sampling.locale_of(F.col("page_id"))).withColumn("text", T.apply_locale(F.col("text"), F.col("d.years"), F.col("d.digits"))).drop("d")
+    return layout.page_records(drawn, F.lit(WIDTH), F.lit(HEIGHT))
