@@ -61,7 +61,7 @@ def weights(tokens: dict, entropy: float | None = ENTROPY, repeats: float | None
         return inside
 
     positive = sum(1 for n in tokens.values() if n)
-    exponent = 1.0
+    exponent = 1.0 if repeats is None else 0.0
     if entropy is not None and positive > 1:
         goal = entropy * math.log(positive)
         exponent = bisect(lambda a: spread(a) >= goal, 0.0, 1.0)
