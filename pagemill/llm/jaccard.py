@@ -6,13 +6,17 @@ values at a time, and the pair is dropped as soon as the posterior probability (
 that its similarity reaches the threshold falls below a tolerance; the rest are verified exactly
 on their shingle sets. Verified links are joined to connected components.
 
-Each map task first pairs the members of a band's bucket that it holds itself and passes on a few
-of them, so a bucket of any size reaches the shuffle as a few rows of each task. Small buckets
-are compared in full. In larger ones each member meets the bucket's first member and its
-neighbour in an order that differs from band to band, and its neighbour by signature; members of
-one group meet again in about half of the 32 bands. All links found are verified, so no link is
-wrong; the risk to miss one is that of the bands (under 1e-7 for a pair at the threshold) plus the
-tolerance, and for a large bucket that no chain of verified links joins two members in any band.
+A bucket of up to ``FULL`` classes proposes all its pairs. Larger ones propose none: their members
+are joined by star-shaped edges into hot groups (components over all bands), and each group is
+compared with itself in blocks. Its members are dealt by hash to blocks of bounded number and bytes,
+every two blocks meet in a task of their own, and what comes out is not the links but each member's
+number of them and a spanning forest, so that a group of m members gives m / BLOCK rows of each and
+no task holds more than two blocks. The work in such a group is that of all its pairs; none is capped.
+Each map task passes on a few members of a bucket and the star of the rest, so that a bucket of any
+size reaches the shuffle as a few rows of each task.
+
+All links found are verified exactly, and the risk to miss one is that of the bands (under 1e-7 for a
+pair at the threshold) plus the tolerance, in groups of every size.
 
 Defined results: null and empty texts have the empty set and form one class; a text of fewer than
 five words is one shingle of its words; repeated rows each get a row; a null id is treated as the
@@ -34,8 +38,10 @@ from pagemill.llm.components import components
 
 #: Similarity, words of a shingle, signature values, bands, tolerance, values compared at a time.
 THRESHOLD, WIDTH, VALUES, BANDS, TOLERANCE, STEP = 0.8, 5, 128, 32, 1e-6, 16
-#: A bucket of so many members or fewer is compared in full; so many of a task's are passed on.
+#: A bucket of so many members or fewer proposes all its pairs; so many of a task's are passed on.
 FULL, PASSED = 24, 6
+#: Members and bytes of shingles of a block of a hot group; shingles that are multiplied at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 2048
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -101,27 +107,26 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(key)))
 
 
-def _pairs(node: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of each small run; the first and the previous member with each of a larger one."""
-    a, b = [], []
+def _pairs(node: np.ndarray, start: np.ndarray, size: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, hot): all pairs of each run, or the first member with each other of a hot one."""
+    a, b = [node[:0]], [node[:0]]
     for n in range(2, FULL + 1):
-        at = start[size == n]
+        at = start[(size == n) & ~hot]
         if len(at):
             i, j = np.triu_indices(n, 1)
             a.append(node[(at[:, None] + i).ravel()])
             b.append(node[(at[:, None] + j).ravel()])
-    for s, n in zip(start[size > FULL], size[size > FULL], strict=True):
-        own = node[s : s + n]
-        a += [np.full(n - 1, own[0]), own[1:-1]]
-        b += [own[1:], own[2:]]
-    if not a:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    n_cold = sum(map(len, a))
+    for s, n in zip(start[hot], size[hot], strict=True):
+        a.append(np.full(n - 1, node[s]))
+        b.append(node[s + 1 : s + n])
     a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) >= n_cold
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, a, b, deal): members of buckets with b null, and pairs found within this task."""
+    """(key, a, b, over, star): members of buckets (b is a; over if the task holds more than it passes
+    on) and, under keys of their own, edges of the rest of such buckets to the first member."""
     ids, sigs = [], []
     for batch in batches:
         ids.append(batch.column("node").to_numpy())
@@ -129,55 +134,136 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not ids:
         return
     node, sig = np.concatenate(ids), np.concatenate(sigs)
-    by_sig = np.lexsort(sig.T[::-1][-8:])
     rows = VALUES // BANDS
-    seen = set()
     for band in range(BANDS):
         own = sig[:, band * rows : (band + 1) * rows].astype(np.uint64)
         key = np.full(len(node), band + 1, dtype=np.uint64)
         for k in range(rows):
             key = mix(key ^ own[:, k]) + np.uint64(band)
-        order = np.lexsort((mix(node.view(np.uint64) ^ np.uint64(band * 0x9E3779B97F4A7C15 % (1 << 64))), key))
-        k, n = key[order], node[order]
+        order = np.lexsort((node, key))
+        k, n = key[order].view(np.int64), node[order]
         start, size = _groups(k)
         place = np.arange(len(n)) - np.repeat(start, size)
-        large = np.repeat(size > PASSED, size)
-        a, b = _pairs(n[large], *_groups(k[large]))
-        s = by_sig[np.isin(by_sig, order[large])] if large.any() else by_sig[:0]  # neighbours by signature
-        same = key[s[1:]] == key[s[:-1]]
-        a = np.concatenate([a, np.minimum(node[s[1:]], node[s[:-1]])[same]])
-        b = np.concatenate([b, np.maximum(node[s[1:]], node[s[:-1]])[same]])
-        fresh = [i for i, p in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if p not in seen and not seen.add(p)] if len(a) else []
-        a, b = a[fresh], b[fresh]
+        over, first = np.repeat(size > PASSED, size), n[np.repeat(start, size)]
         go = place < PASSED
         yield pa.record_batch(
-            [pa.array(np.concatenate([k[go].view(np.int64), mix(a.view(np.uint64) * np.uint64(31) + b.view(np.uint64)).view(np.int64)])), pa.array(np.concatenate([n[go], a])), pa.array(np.concatenate([n[go], b])), pa.array(np.concatenate([np.zeros(go.sum(), dtype=bool), np.ones(len(a), dtype=bool)]))],
-            names=["key", "a", "b", "pair"],
+            [pa.array(np.where(go, k, mix(k.view(np.uint64) ^ mix(n.view(np.uint64))).view(np.int64))), pa.array(np.where(go, n, first)), pa.array(n), pa.array(over), pa.array(~go)],
+            names=["key", "a", "b", "over", "star"],
         )
 
 
 def _bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of the members of each bucket; rows come sorted by (pair, key, random)."""
+    """(a, b, hot) of the members of each bucket, and the edges that tasks have made; rows come
+    sorted by (star, key, a)."""
     rest = None
     for batch in batches:
-        done = batch[batch.pair]
+        done = batch[batch.star]
         if len(done):
-            yield done[["a", "b"]]
-        own = batch[~batch.pair][["key", "a"]]
+            yield pd.DataFrame({"a": np.minimum(done.a, done.b), "b": np.maximum(done.a, done.b), "hot": True})
+        own = batch[~batch.star][["key", "a", "over"]]
         if rest is not None:
             own = pd.concat([rest, own])
-        if not len(own):
-            continue
-        key, node = own.key.to_numpy(), own.a.to_numpy()
-        start, size = _groups(key)
-        last = start[-1]  # it may go on in the next batch
+        last = int(np.searchsorted(own.key.to_numpy(), own.key.iloc[-1])) if len(own) else 0  # it may go on in the next batch
         rest = own.iloc[last:]
-        a, b = _pairs(node[:last], start[:-1], size[:-1])
-        yield pd.DataFrame({"a": a, "b": b})
+        yield _proposed(own.iloc[:last])
     if rest is not None:
-        node = rest.a.to_numpy()
-        a, b = _pairs(node, np.array([0]), np.array([len(node)]))
-        yield pd.DataFrame({"a": a, "b": b})
+        yield _proposed(rest)
+
+
+def _proposed(own: pd.DataFrame) -> pd.DataFrame:
+    start, size = _groups(own.key.to_numpy())
+    hot = size > FULL
+    if len(start):
+        hot |= np.logical_or.reduceat(own.over.to_numpy(dtype=bool), start)
+    return pd.DataFrame(dict(zip(("a", "b", "hot"), _pairs(own.a.to_numpy(), start, size, hot), strict=True)))
+
+
+def common_shingles(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The numbers of common shingles of each of ``x`` with each of ``y``, by products of slices
+    of the incidence matrices; only shingles of both sides have a column."""
+    flat = [np.concatenate([np.zeros(0, dtype=np.uint64), *sets]) for sets in (x, y)]
+    row = [np.repeat(np.arange(len(sets)), [len(s) for s in sets]) for sets in (x, y)]
+    columns = np.intersect1d(*flat)
+    out = np.zeros((len(x), len(y)))
+    cells = []
+    for f, r in zip(flat, row, strict=True):
+        at = np.searchsorted(columns, f)
+        ok = at < len(columns)
+        ok[ok] = columns[at[ok]] == f[ok]
+        by = np.argsort(at[ok], kind="stable")
+        cells.append((at[ok][by], r[ok][by]))
+    for low in range(0, len(columns), COLUMNS):
+        dense = []
+        for (at, r), sets in zip(cells, (x, y), strict=True):
+            i, j = np.searchsorted(at, (low, low + COLUMNS))
+            m = np.zeros((len(sets), min(COLUMNS, len(columns) - low)), dtype=np.float32)
+            m[r[i:j], at[i:j] - low] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def linked(sig_x: np.ndarray, x: list[np.ndarray], sig_y: np.ndarray, y: list[np.ndarray], least: dict[int, int], threshold: float) -> np.ndarray:
+    """Which of ``x`` are similar to which of ``y``: pruned by signatures, the rest verified exactly."""
+    n, fewest = next(iter(least.items()))
+    matches = np.zeros((len(x), len(y)), dtype=np.int16)
+    for k in range(n):
+        matches += sig_x[:, k, None] == sig_y[None, :, k]
+    i, j = np.nonzero(matches >= fewest)
+    out = np.zeros(matches.shape, dtype=bool)
+    for at in range(0, len(i), 1 << 14):
+        p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        out[p, q] = surviving(sig_x[p], sig_y[q], least)
+    if out.any():
+        some_x, some_y = np.flatnonzero(out.any(axis=1)), np.flatnonzero(out.any(axis=0))
+        both = common_shingles([x[k] for k in some_x], [y[k] for k in some_y])
+        union = np.array([len(x[k]) for k in some_x])[:, None] + np.array([len(y[k]) for k in some_y]) - both
+        out[np.ix_(some_x, some_y)] &= both / np.maximum(union, 1) >= threshold
+    return out
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric adjacency matrix."""
+    left, edges = np.ones(len(near), dtype=bool), []
+    for s in range(len(near)):
+        if not left[s]:
+            continue
+        left[s], open_ = False, [s]
+        while open_:
+            u = open_.pop()
+            new = np.flatnonzero(near[u] & left)
+            left[new] = False
+            edges += [(u, int(v)) for v in new]
+            open_ += new.tolist()
+    return edges
+
+
+def _two_blocks(least: dict[int, int], threshold: float):
+    def run(members: pa.Table) -> pa.Table:
+        """(node, null, number of links) and (a, b, null) of a spanning forest, from two blocks."""
+        node, block = members.column("node").to_numpy(), members.column("block").to_numpy()
+        order = np.lexsort((node, block))
+        node, block = node[order], block[order]
+        sigs, sets = members.column("sig").to_pylist(), members.column("s").to_pylist()
+        sig = np.frombuffer(b"".join(sigs[k] for k in order), dtype=np.uint32).reshape(-1, VALUES)
+        s = [np.frombuffer(sets[k], dtype=np.uint64) for k in order]
+        i, j = members.column("i")[0].as_py(), members.column("j")[0].as_py()
+        near = np.zeros((len(node), len(node)), dtype=bool)
+        if i == j:
+            near = linked(sig, s, sig, s, least, threshold)
+            np.fill_diagonal(near, False)
+        else:
+            n = int(np.count_nonzero(block == i))
+            near[:n, n:] = linked(sig[:n], s[:n], sig[n:], s[n:], least, threshold)
+            near[n:, :n] = near[:n, n:].T
+        number, edges = near.sum(axis=1), _forest(near)
+        some = np.flatnonzero(number)
+        a = np.concatenate([node[some], node[np.array([e[0] for e in edges], dtype=np.int64)]])
+        b = np.concatenate([node[some], node[np.array([e[1] for e in edges], dtype=np.int64)]])
+        count = np.concatenate([number[some], np.zeros(len(edges), dtype=np.int64)])
+        return pa.table({"a": pa.array(np.where(a < b, a, b)), "b": pa.array(np.where(a < b, b, a)), "n": pa.array(count, pa.int64())})
+
+    return run
 
 
 def _id():
@@ -194,12 +280,17 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_batches(docs.select(_id().alias("node"), "doc_id", "text"), run, "node long, doc_id long, set_hash long, sig binary")
 
 
-def similar_pairs(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH) -> DataFrame:
-    """(a, b, similarity): verified links between ``classes`` (node, sig), a < b."""
+def similar_pairs(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Of ``classes`` (node, sig): verified links (a, b) that connect all that are similar, and
+    (node, n_links), the number of all links of each that has any."""
     n = partitions(docs.sparkSession)
-    rows = classes.where("set_hash <> 0").select("node", "sig").mapInArrow(_band_rows, "key long, a long, b long, pair boolean")
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "pair", F.xxhash64("key", "a"), "a")
-    pairs = cut(dealt.mapInPandas(_bucket_pairs, "a long, b long").where("a <> b").distinct(), "pairs")
+    rows = classes.where("set_hash <> 0").select("node", "sig").mapInArrow(_band_rows, "key long, a long, b long, over boolean, star boolean")
+    dealt = rows.repartition(n, "key").sortWithinPartitions("star", "key", "a")
+    proposed = cut(dealt.mapInPandas(_bucket_pairs, "a long, b long, hot boolean").distinct(), "pairs")
+    hot = components(proposed.where("hot").select("a", "b"))
+    group = lambda x: hot.select(F.col("node").alias(x), F.col("label").alias(f"group_{x}"))
+    pairs = proposed.where("not hot").select("a", "b").join(group("a"), "a", "left").join(group("b"), "b", "left")
+    pairs = pairs.where(F.coalesce(F.col("group_a") != F.col("group_b"), F.lit(True))).select("a", "b")  # others meet in blocks
     left, right = (classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     least = least_matches(threshold, tolerance)
 
@@ -209,7 +300,7 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, threshold: float = THRESH
         return pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     kept = cut(map_batches(pairs.join(left, "a").join(right, "b"), prune, "a long, b long"), "kept")
-    wanted = kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct()
+    wanted = kept.select(F.col("a").alias("node")).union(kept.select("b")).union(hot.select("node")).distinct()
     texts = docs.select(_id().alias("node"), "text").join(wanted.hint("shuffle_merge"), "node", "left_semi")  # one plan at every size
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -222,7 +313,20 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, threshold: float = THRESH
         u64 = lambda c: (np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist())
         return pa.record_batch([batch.column("a"), batch.column("b"), pa.array([jaccard(x, y) for x, y in zip(u64("s_a"), u64("s_b"), strict=True)], pa.float64())], names=["a", "b", "similarity"])
 
-    return cut(map_batches(kept.join(left, "a").join(right, "b"), verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold), "links")
+    found = cut(map_batches(kept.join(left, "a").join(right, "b"), verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold), "links").select("a", "b")
+    inside = cut(blocks(hot, classes, sets).groupBy("label", "i", "j").applyInArrow(_two_blocks(least, threshold), "a long, b long, n long"), "inside")
+    ends = found.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n")).union(inside.where("n > 0").select("a", "n"))
+    return found.union(inside.where("n = 0").select("a", "b")), ends.groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def blocks(hot: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(label, i, j, block, node, sig, s): the members of hot groups (node, label), each once for
+    every block of its group, so that blocks i <= j of a group come together."""
+    sizes = hot.join(sets, "node").groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("s")).alias("bytes"))
+    number = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    placed = hot.join(sizes.select("label", number.alias("number")), "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("number")).cast("int"))
+    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("number") - 1))).select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node")
+    return dealt.join(classes.select("node", "sig"), "node").join(sets, "node")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH) -> DataFrame:
@@ -230,12 +334,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
     ``class_id`` is the least id of the texts it is linked to, directly or over others;
     ``copy_of`` is the least id with the same shingles, of which there are ``n_copies``, and
-    ``n_links`` the number of verified links from those to other texts.
+    ``n_links`` the number of verified links from those to other shingle sets, all of them.
     """
     rows = cut(signatures(docs, width), "signatures")
     classes = cut(rows.groupBy("set_hash").agg(F.min("node").alias("node"), F.min("sig").alias("sig"), F.count("*").alias("n_copies")), "classes")
-    links = similar_pairs(docs, classes, threshold, tolerance, width)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    links, ends = similar_pairs(docs, classes, threshold, tolerance, width)
     found = components(links).join(ends, "node")
     known = classes.select("set_hash", "node", "n_copies").join(found, "node", "left").select("set_hash", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return rows.select("doc_id", "set_hash").join(known, "set_hash").select("doc_id", "class_id", "copy_of", "n_copies", "n_links")

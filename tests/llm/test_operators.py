@@ -308,10 +308,11 @@ def brute_classes(texts):
     return {d: top(d) for d in texts}
 
 
-def test_join(spark, docs, odd, none):
+def test_join(spark, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = by_id(jaccard.join(docs))
     assert {d: r.class_id for d, r in got.items()} == brute_classes(texts)
+    assert {d: r.n_links for d, r in got.items()} == brute_links(texts.items())
     rng = random.Random(6)
     base = [f"v{rng.randint(0, 10**6)}" for _ in range(300)]
     many = []
@@ -323,6 +324,44 @@ def test_join(spark, docs, odd, none):
     got = by_id(jaccard.join(spark.createDataFrame(many, "doc_id long, text string")))
     assert {r.class_id for r in got.values()} == {0}
     assert jaccard.one_of_each(spark.createDataFrame(many, "doc_id long, text string")).count() == 1
+    assert {d: r.n_links for d, r in got.items()} == brute_links(many)
+
+
+def brute_links(rows):
+    """The number of other shingle sets that each row's set is similar to."""
+    sets = {d: frozenset(shingle_hashes(t or "").tolist()) for d, t in rows}
+    kinds = [s for s in set(sets.values()) if s]
+    n = {s: sum(o is not s and len(s & o) >= 0.8 * len(s | o) for o in kinds) for s in kinds}
+    return {d: n.get(s, 0) for d, s in sets.items()}
+
+
+def test_join_loses_no_link_of_a_hot_bucket(spark, monkeypatch):
+    """A common form of text, of which most are a little less than similar and some pairs are similar."""
+    rng = random.Random(12)
+    form, rows = [f"v{rng.randint(0, 10**6)}" for _ in range(400)], []
+    own = lambda n: [f"n{rng.randint(0, 10**9)}" for _ in range(n)]
+    for i in range(150):
+        tail = own(60)
+        rows.append((2 * i, " ".join(form + tail)))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, " ".join(form + tail[:45] + own(15))))
+    brute = brute_links(rows)
+    assert min(brute.values()) == 0 < max(brute.values())
+    for block, parts in ((512, 1), (16, 7)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got = by_id(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)))
+        assert {d: r.n_links for d, r in got.items()} == brute
+        assert {d: r.class_id for d, r in got.items()} == brute_classes(dict(rows))
+
+
+def test_common_shingles(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    x, y = ([np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in sizes] for sizes in ((0, 3, 40, 20), (50, 0, 8)))
+    assert jaccard.common_shingles(x, y).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+
+
+def test_join_edge_rows(spark, odd, none):
     found = jaccard.join(odd).collect()
     assert len(found) == odd.count() and {r.class_id for r in found if r.doc_id in (0, 1)} == {0}
     assert jaccard.one_of_each(odd).columns == odd.columns
