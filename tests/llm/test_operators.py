@@ -256,6 +256,18 @@ def test_passages(spark, docs, odd, none):
     assert passages.repeated(none).count() == 0
 
 
+def test_passages_beside_a_shorter_one(spark):
+    """Two texts share a passage of which texts with lesser ids have a part; and runs of one word."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    some = lambda n: [word() for _ in range(n)]
+    whole = some(52)
+    parts = [(i, some(30) + whole[k : k + 45] + some(60)) for i, k in enumerate((0, 2, 4, 7))]
+    rows = [*parts, *((i, some(20) + whole + some(70)) for i in (10, 11, 12)), (20, ["The"] * 66 + some(40)), (21, some(9) + ["The"] * 90)]
+    found = passages.repeated(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r.other_doc_id, r.doc_id) for r in found} == {(10, 11), (10, 12), (20, 21)}
+
+
 def test_windows_hold_every_passage():
     rng = np.random.default_rng(5)
     v = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
