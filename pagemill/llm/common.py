@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _WORD = 0xD6E8FEB86659FD93 | 1
+#: Rows of texts that a worker turns into Python objects at a time.
+SLICE = 256
 _pows: dict[str, np.ndarray] = {}
 _alnum = np.zeros(0, dtype=bool)
 
@@ -124,13 +126,15 @@ def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
     return mix(out)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """``f`` over Arrow batches, without shuffles."""
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = SLICE) -> DataFrame:
+    """``f`` over slices of ``rows`` rows of Arrow batches, without shuffles: what a worker holds beside
+    the batch, its texts as Python strings and the results, is that of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = f(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for k in range(0, batch.num_rows, rows):
+                out = f(batch.slice(k, rows))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)

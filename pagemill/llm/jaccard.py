@@ -42,6 +42,8 @@ THRESHOLD, WIDTH, VALUES, BANDS, TOLERANCE, STEP = 0.8, 5, 128, 32, 1e-6, 16
 FULL, PASSED = 24, 6
 #: Members and bytes of shingles of a block of a hot group; shingles that are multiplied at a time.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 2048
+#: Pairs whose signatures are compared at a time.
+PAIRS = 4096
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -299,7 +301,7 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, threshold: float = THRESH
         keep = pa.array(surviving(*both, least))
         return pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    kept = cut(map_batches(pairs.join(left, "a").join(right, "b"), prune, "a long, b long"), "kept")
+    kept = cut(map_batches(pairs.join(left, "a").join(right, "b"), prune, "a long, b long", PAIRS), "kept")
     wanted = kept.select(F.col("a").alias("node")).union(kept.select("b")).union(hot.select("node")).distinct()
     texts = docs.select(_id().alias("node"), "text").join(wanted.hint("shuffle_merge"), "node", "left_semi")  # one plan at every size
 
