@@ -16,7 +16,6 @@ from pagemill.sources.files import put
 
 #: The gap between a source page and its reconstruction, its colour, the boxes' colours.
 GAP, GAP_COLOUR, REGION_COLOUR, CLUSTER_COLOUR = 12, 245, (220, 40, 40), (40, 120, 220)
-_FILE = r"([^/]+)\z"
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +31,8 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
             out.append((np.repeat(p, 3, axis=2) if c == 1 else p[..., 2::-1]).tobytes())
         return pd.Series(out)
 
-    return raw.select(F.col("origin").alias("path"), "width", "height", rgb("data", "nChannels", "width", "height").alias("rgb"))
+    path = F.coalesce(F.try_url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B"))), F.col("origin"))  # a URI
+    return raw.select(path.alias("path"), "width", "height", rgb("data", "nChannels", "width", "height").alias("rgb"))
 
 
 def page_images(pages: DataFrame, images: DataFrame, root: str) -> DataFrame:
