@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import fonts, layout, sampling
+from pagemill.operators import fonts, layout, pixels, sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -377,6 +377,43 @@ def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", F.round("coverage", 9).alias("coverage"))
 
 
+# -- pixels -----------------------------------------------------------------------------------
+
+_STRIPES = "s AS (SELECT doc_id, 210 + doc_id % 40 AS paper, doc_id % 60 AS ink, 6 + doc_id % 5 AS rows FROM documents)"
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grey page of 40 x 32 pixels for each document, with 6 to 10 rows of vertical strokes."""
+    paper, ink, rows = (F.lit(210) + F.col("doc_id") % 40, F.col("doc_id") % 60, F.lit(6) + F.col("doc_id") % 5)
+    two = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    blank = F.repeat(two(paper), 40 * 3)
+    stroked = F.repeat(F.concat(F.repeat(two(paper), 6 * 3), F.repeat(two(ink), 2 * 3)), 5)
+    n = rows.cast("int")
+    rgb = F.unhex(F.concat(F.repeat(blank, 8), F.repeat(stroked, n), F.repeat(blank, F.lit(24) - n)))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(40).alias("width"), F.lit(32).alias("height"), rgb.alias("rgb"))
+
+
+def _whole(images: DataFrame) -> DataFrame:
+    return images.select("page_id", F.lit(0).cast("long").alias("region_idx"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"), F.lit("").alias("text"), F.lit("Text").alias("category"), F.lit(0.0).alias("ink_height"))
+
+
+@query(f"WITH {_STRIPES} SELECT doc_id AS page_id, rows::DOUBLE AS ink_height FROM s")
+def q_measure_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _rasters(spark, sf_dir)
+    return pixels.measured(images, _whole(images)).select("page_id", "ink_height")
+
+
+@query(f"WITH {_STRIPES} SELECT doc_id AS page_id, ink::INT AS r, sha256(unhex(repeat(lpad(to_hex(paper), 2, '0'), 40 * 32 * 3))) AS clean FROM s")
+def q_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _rasters(spark, sf_dir)
+    return pixels.erased(images, _whole(images)).select("page_id", F.col("colours")[0]["r"].alias("r"), F.sha2("rgb", 256).alias("clean"))
+
+
+@query(f"WITH {_STRIPES} SELECT doc_id AS page_id, 20 AS width, 16 AS height, sha256(unhex(repeat(lpad(to_hex(paper), 2, '0'), 20 * 3))) AS top FROM s")
+def q_downscale_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.downscaled(_rasters(spark, sf_dir), 20).select("page_id", "width", "height", F.sha2(F.substring("rgb", 1, 20 * 3), 256).alias("top"))
+
+
 # -- draws ------------------------------------------------------------------------------------
 
 
