@@ -29,7 +29,7 @@ from pagemill.llm.common import cut
 NAMES = "passwords?|passwd|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth[_-]?keys?|private[_-]?keys?|client[_-]?secret|credentials?|bearer"
 _BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
 _TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
-_LOOSE = rf"\b(?i:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}[\"']?[^\s\"'<>]{{6,512}}"
+_LOOSE = rf"\b(?i:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}[\"']?[^\s\"'<>]{{6,}}+"
 CANDIDATE = f"{_BLOCK}|{_LOOSE}|{_TOKEN}"
 _VALUE = rf"^(?:(?i:{NAMES})[\"']?\s*[:=]+>?\s*[\"']?)?([\s\S]*)$"
 #: Code points of context kept on either side.

@@ -232,6 +232,19 @@ def test_secrets(spark, docs, odd, none):
         assert abs(r.s - np.mean([by_tree(t, r.f.asDict()) for t in forest.trees])) < 1e-9
 
 
+def test_long_values_are_one_secret(spark):
+    """Values of thousands of characters after a name: one finding each, masked to their end."""
+    rng = random.Random(31)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = [some("0123456789abcdef", 900), some(b64, 513), some(b64, 5000), "eyJhbGciOiJIUzI1NiJ9." + some(b64 + "-_", 3000) + "." + some(b64, 43), *(some(b64 + "+/", 4000) for _ in range(6))]
+    df = spark.createDataFrame([(i, f'set token="{v}" now') for i, v in enumerate(values)], "doc_id long, text string")
+    forest = secrets.train(secrets.labelled_findings(spark))
+    found = [(r.doc_id, r.length, r.secret_sha256) for r in secrets.findings(df, forest).orderBy("doc_id", "ordinal").collect()]
+    assert found == [(i, len(v), hashlib.sha256(v.encode()).hexdigest()) for i, v in enumerate(values)]
+    assert {r.text for r in secrets.redacted(df, forest).collect()} == {'set token="[SECRET]" now'}
+
+
 def windows_of(text, n=50):
     w = word_hashes(text or "")
     return {w[k : k + n].tobytes() for k in range(len(w) - n + 1)}
