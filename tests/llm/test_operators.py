@@ -281,6 +281,26 @@ def test_passages_beside_a_shorter_one(spark):
     assert {(r.other_doc_id, r.doc_id) for r in found} == {(10, 11), (10, 12), (20, 21)}
 
 
+def test_passages_with_a_word_put_in_or_left_out(spark):
+    """Passages of 50 to 70 words with one edit at every place; similarity 0.8 or more."""
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    some = lambda n: [word() for _ in range(n)]
+    rows, wanted = [], set()
+    for n in range(50, 71):
+        for k in range(0, n, 3):
+            own = some(n)
+            new = own[:k] + some(1) + own[k + (n % 2 and n > 51) :]
+            x, y = (set(shingle_hashes(" ".join(w)).tolist()) for w in (own, new))
+            if len(x & y) >= 0.8 * len(x | y):
+                wanted.add((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(some(30) + own + some(40))), (len(rows) + 1, " ".join(some(50) + new + some(20)))]
+    found = {(r.other_doc_id, r.doc_id) for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print(len(found & wanted), len(wanted))
+    assert len(found & wanted) >= 0.97 * len(wanted)
+    assert all(b == a + 1 for a, b in found)
+
+
 def test_windows_hold_every_passage():
     rng = np.random.default_rng(5)
     v = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
