@@ -281,6 +281,20 @@ def test_passages_beside_a_shorter_one(spark):
     assert {(r.other_doc_id, r.doc_id) for r in found} == {(10, 11), (10, 12), (20, 21)}
 
 
+def test_passages_of_a_verified_member(spark):
+    """The least id has a part of a passage, the next one all of it, a third too little of the part."""
+    rng = random.Random(35)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    some = lambda n: [word() for _ in range(n)]
+    rows, wanted = [], set()
+    for k in range(0, 90, 3):
+        whole = some(56)
+        rows += [(k, some(30) + whole[:55] + some(40)), (k + 1, some(20) + whole + some(60)), (k + 2, some(50) + whole[6:] + some(30))]
+        wanted |= {(k, k + 1), (k + 1, k + 2)}
+    found = passages.repeated(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)).collect()
+    assert {(r.other_doc_id, r.doc_id) for r in found} == wanted
+
+
 def test_passages_with_a_word_put_in_or_left_out(spark):
     """Passages of 50 to 70 words with one edit at every place; similarity 0.8 or more."""
     rng = random.Random(33)
