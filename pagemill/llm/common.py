@@ -29,22 +29,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Where none is set a folder of this machine serves a local session; on a cluster that is an error,
+    since each executor would write to a disk of its own and rows would be lost.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    if context.applicationId not in _local:
+        import atexit
+        import shutil
         import tempfile
 
-        found = "file://" + tempfile.mkdtemp(prefix="pagemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        path = tempfile.mkdtemp(prefix="pagemill-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _local[context.applicationId] = "file://" + path
+    return _local[context.applicationId]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that lineage ends there."""
+    """Write ``df`` to the shared folder and read it back, so that lineage ends there. ``discard``
+    deletes what nothing reads any more; what a result reads stays in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of frames that ``cut`` has made and nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: The columns that tell a stored row from all others, whatever its values.
+ROW = ("__file", "__row")
+
+
+def with_rows(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(stored, keyed): ``docs`` as files hold it, and ``columns`` of it (all, if none) with the key
+    ``ROW`` of each row: a hash of its file's path, and its place there. A frame that is no plain scan of
+    Parquet files is written once, since only stored rows keep their places when tasks run again."""
+    key = [F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1])]
+    own = list(columns or docs.columns)
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation" and plan.relation().toString() == "parquet":
+        return docs, docs.select(*key, *own)
+    stored = cut(docs, "rows")
+    return stored, stored.select(*key, *own)
+
+
+def heavy_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int, most: int = 1000) -> DataFrame:
+    """The inner join of ``rows`` with ``keyed`` (unique in ``on``), whose column ``weight`` says how many
+    rows a key has. Keys of more than one row in ``most`` of the ``total`` are fewer than ``most`` and are
+    broadcast; so a key that is shuffled has at most that share of all rows."""
+    hot = keyed.where(F.col(weight) * most > total)
+    first = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(weight) * most <= total).hint("shuffle_merge"), on)
+    return first.unionByName(rest)
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -126,6 +183,13 @@ def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
     return mix(out)
 
 
+def tree_parents(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For the members of runs (``start``, ``size``), the place of each one's parent in a binary tree over
+    its run, so that a run holds together and no member has more than three neighbours."""
+    place = np.arange(int(size.sum())) - np.repeat(start, size)
+    return np.repeat(start, size) + np.maximum(place - 1, 0) // 2
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = SLICE) -> DataFrame:
     """``f`` over slices of ``rows`` rows of Arrow batches, without shuffles: what a worker holds beside
     the batch, its texts as Python strings and the results, is that of a slice."""

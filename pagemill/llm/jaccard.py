@@ -6,21 +6,29 @@ values at a time, and the pair is dropped as soon as the posterior probability (
 that its similarity reaches the threshold falls below a tolerance; the rest are verified exactly
 on their shingle sets. Verified links are joined to connected components.
 
-A bucket of up to ``FULL`` classes proposes all its pairs. Larger ones propose none: their members
-are joined by star-shaped edges into hot groups (components over all bands), and each group is
-compared with itself in blocks. Its members are dealt by hash to blocks of bounded number and bytes,
-every two blocks meet in a task of their own, and what comes out is not the links but each member's
-number of them and a spanning forest, so that a group of m members gives m / BLOCK rows of each and
-no task holds more than two blocks. The work in such a group is that of all its pairs; none is capped.
-Each map task passes on a few members of a bucket and the star of the rest, so that a bucket of any
-size reaches the shuffle as a few rows of each task.
-
-All links found are verified exactly, and the risk to miss one is that of the bands (under 1e-7 for a
-pair at the threshold) plus the tolerance, in groups of every size.
+A bucket of up to ``FULL`` classes proposes all its pairs. The members of a larger one are filed again
+under finer buckets, each of that band together with one of the ``FINER`` bands after it, so texts that
+merely have a form in common part (two texts of similarity s agree on both with s ** 8). A pair of similar
+texts either shares a bucket that is small, or many large ones of which two lie within that reach. Whether
+a bucket is large depends on the number of its members alone, not on how rows lie in partitions.
+Finer buckets that are still large make hot groups (components over trees of bounded degree), and each
+group is compared with itself in blocks. Its members are dealt by hash to blocks of bounded number and
+bytes, every two blocks meet in a task of their own, and what comes out is not the links but each member's
+number of them and a tree of each set of connected members, so that a group of m members gives m / BLOCK
+rows of each and no task holds more than two blocks. The work in such a group is that of all its pairs;
+none is capped. A task that holds more than ``FULL`` members of a bucket itself passes on one of them,
+so that a bucket of any size reaches the shuffle as a few rows of each task.
+
+All links found are verified exactly. The risk to miss one is that of the bands (under 1e-7 for a pair
+at the threshold; under 2e-5 if every bucket that it shares is large) plus the tolerance.
+
+Each row of the table is told apart by its place in the stored files, and a class is the rows of one
+shingle set (by 128 bits of hash), so neither repeated nor missing ids mix up texts.
 
 Defined results: null and empty texts have the empty set and form one class; a text of fewer than
-five words is one shingle of its words; repeated rows each get a row; a null id is treated as the
-least id; an empty table gives an empty result; other columns are ignored.
+five words is one shingle of its words; repeated rows each get a row; rows of one id with different texts
+are told apart; a class without any id, or whose least id leads another class too, has a negative number
+made from its shingles as ``class_id``; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cut, map_batches, mix, partitions, shingle_hashes
+from pagemill.llm.common import ROW, cut, discard, heavy_join, map_batches, mix, partitions, shingle_hashes, tree_parents, with_rows
 from pagemill.llm.components import components
 
 #: Similarity, words of a shingle, signature values, bands, tolerance, values compared at a time.
 THRESHOLD, WIDTH, VALUES, BANDS, TOLERANCE, STEP = 0.8, 5, 128, 32, 1e-6, 16
-#: A bucket of so many members or fewer proposes all its pairs; so many of a task's are passed on.
-FULL, PASSED = 24, 6
+#: A bucket of so many members or fewer proposes all its pairs; bands after a band that make finer ones.
+FULL, FINER = 24, 10
 #: Members and bytes of shingles of a block of a hot group; shingles that are multiplied at a time.
-BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 2048
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 16 << 20, 2048
 #: Pairs whose signatures are compared at a time.
 PAIRS = 4096
 _rng = np.random.default_rng(20240229)
@@ -53,11 +61,13 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(text or "", width))
 
 
-def set_hash(s: np.ndarray) -> int:
-    """A signed 64-bit hash of a set of shingles."""
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set of shingles; zeros for the empty set."""
     if not len(s):
-        return 0
-    return int((mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64))
+        return 0, 0
+    n = np.uint64(len(s) * 0x9E3779B97F4A7C15 % (1 << 64))
+    one, two = mix(s).sum(dtype=np.uint64) ^ n, mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64) ^ n
+    return int(one.view(np.int64)), int(two.view(np.int64))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -109,75 +119,120 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(key)))
 
 
-def _pairs(node: np.ndarray, start: np.ndarray, size: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, hot): all pairs of each run, or the first member with each other of a hot one."""
+def _pairs(node: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a < b) of each run of at most ``FULL``."""
     a, b = [node[:0]], [node[:0]]
     for n in range(2, FULL + 1):
-        at = start[(size == n) & ~hot]
+        at = start[size == n]
         if len(at):
             i, j = np.triu_indices(n, 1)
             a.append(node[(at[:, None] + i).ravel()])
             b.append(node[(at[:, None] + j).ravel()])
-    n_cold = sum(map(len, a))
-    for s, n in zip(start[hot], size[hot], strict=True):
-        a.append(np.full(n - 1, node[s]))
-        b.append(node[s + 1 : s + n])
     a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) >= n_cold
-
-
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, a, b, over, star): members of buckets (b is a; over if the task holds more than it passes
-    on) and, under keys of their own, edges of the rest of such buckets to the first member."""
-    ids, sigs = [], []
-    for batch in batches:
-        ids.append(batch.column("node").to_numpy())
-        sigs.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, VALUES))
-    if not ids:
-        return
-    node, sig = np.concatenate(ids), np.concatenate(sigs)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+BUCKETS = "key long, a long, b long, over boolean, done boolean"
+
+
+def _filed(key: np.ndarray, node: np.ndarray, band: int | None) -> pa.RecordBatch:
+    """``BUCKETS`` rows that a task passes on: members ``a`` of buckets (``over`` if the task holds more of
+    it than ``FULL`` and passes on the first) and, under keys of their own, what is ``done``: the members
+    of large buckets as (node, band), or without a band the edges of a tree over them."""
+    order = np.lexsort((node, key))
+    k, n = key[order].view(np.int64), node[order]
+    start, size = _groups(k)
+    place = np.arange(len(n)) - np.repeat(start, size)
+    over = np.repeat(size > FULL, size)
+    go = ~over | (place == 0)
+    if band is None:
+        a, far = n[tree_parents(start, size)], over & (place > 0)
+        b = n
+    else:
+        a, far = n, over
+        b = np.full(len(n), band, dtype=np.int64)
+    own = mix(k[far].view(np.uint64) ^ mix(n[far].view(np.uint64))).view(np.int64)
+    flags = np.repeat([False, True], [np.count_nonzero(go), np.count_nonzero(far)])
+    cols = [np.concatenate(x) for x in ((k[go], own), (n[go], a[far]), (b[go], b[far]), (over[go], over[far]))]
+    return pa.record_batch([*map(pa.array, cols), pa.array(flags)], names=[x.split()[0] for x in BUCKETS.split(", ")])
+
+
+def _band_hashes(sig: np.ndarray) -> np.ndarray:
+    """(rows, BANDS) hashes of each band of the signatures."""
     rows = VALUES // BANDS
+    out = np.empty((len(sig), BANDS), dtype=np.uint64)
     for band in range(BANDS):
-        own = sig[:, band * rows : (band + 1) * rows].astype(np.uint64)
-        key = np.full(len(node), band + 1, dtype=np.uint64)
-        for k in range(rows):
-            key = mix(key ^ own[:, k]) + np.uint64(band)
-        order = np.lexsort((node, key))
-        k, n = key[order].view(np.int64), node[order]
-        start, size = _groups(k)
-        place = np.arange(len(n)) - np.repeat(start, size)
-        over, first = np.repeat(size > PASSED, size), n[np.repeat(start, size)]
-        go = place < PASSED
-        yield pa.record_batch(
-            [pa.array(np.where(go, k, mix(k.view(np.uint64) ^ mix(n.view(np.uint64))).view(np.int64))), pa.array(np.where(go, n, first)), pa.array(n), pa.array(over), pa.array(~go)],
-            names=["key", "a", "b", "over", "star"],
-        )
-
-
-def _bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(a, b, hot) of the members of each bucket, and the edges that tasks have made; rows come
-    sorted by (star, key, a)."""
-    rest = None
+        key = np.full(len(sig), band + 1, dtype=np.uint64)
+        for k in range(band * rows, (band + 1) * rows):
+            key = mix(key ^ sig[:, k]) + np.uint64(band)
+        out[:, band] = key
+    return out
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(nodes, band hashes, whether each band's bucket is large) of a task's rows."""
+    nodes, hashes, large = [], [], []
     for batch in batches:
-        done = batch[batch.star]
-        if len(done):
-            yield pd.DataFrame({"a": np.minimum(done.a, done.b), "b": np.maximum(done.a, done.b), "hot": True})
-        own = batch[~batch.star][["key", "a", "over"]]
-        if rest is not None:
-            own = pd.concat([rest, own])
-        last = int(np.searchsorted(own.key.to_numpy(), own.key.iloc[-1])) if len(own) else 0  # it may go on in the next batch
-        rest = own.iloc[last:]
-        yield _proposed(own.iloc[:last])
-    if rest is not None:
-        yield _proposed(rest)
+        nodes.append(batch.column("node").to_numpy())
+        hashes.append(_band_hashes(np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, VALUES)))
+        if "bands" in batch.schema.names:
+            bits = batch.column("bands").to_numpy()
+            large.append((bits[:, None] >> np.arange(BANDS)) & 1 > 0)
+    return (np.concatenate(nodes), np.concatenate(hashes), np.concatenate(large) if large else np.zeros(0)) if nodes else None
+
 
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if (got := _read(batches)) is not None:
+        node, key, _ = got
+        for band in range(BANDS):
+            yield _filed(key[:, band], node, band)
+
+
+def _finer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if (got := _read(batches)) is not None:
+        node, key, large = got
+        for band in range(BANDS):
+            own = large[:, band]
+            for k in range(1, FINER + 1):
+                if own.any():
+                    yield _filed(mix(key[own, band] ^ mix(key[own, (band + k) % BANDS] + np.uint64(k))), node[own], None)
+
+
+def _bucket_pairs(banded: bool):
+    """(a, b, hot): the pairs of small buckets, and hot what large ones give: members with their band, or the
+    edges of a tree. Rows come sorted by (done, key, a)."""
+
+    def proposed(own: pd.DataFrame) -> pd.DataFrame:
+        node = own.a.to_numpy()
+        start, size = _groups(own.key.to_numpy())
+        hot = size > FULL
+        if len(start):
+            hot |= np.logical_or.reduceat(own.over.to_numpy(dtype=bool), start)
+        a, b = _pairs(node, start[~hot], size[~hot])
+        within = np.repeat(hot, size)
+        if banded:
+            x, y = node[within], own.b.to_numpy()[within]
+        else:
+            x, y = node[tree_parents(start, size)][within], node[within]
+            x, y = x[x != y], y[x != y]
+        return pd.DataFrame({"a": np.concatenate([a, x]), "b": np.concatenate([b, y]), "hot": np.repeat([False, True], [len(a), len(x)])})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            done = batch[batch.done]
+            if len(done):
+                yield pd.DataFrame({"a": done.a, "b": done.b, "hot": True})
+            own = batch[~batch.done]
+            if rest is not None:
+                own = pd.concat([rest, own])
+            last = int(np.searchsorted(own.key.to_numpy(), own.key.iloc[-1])) if len(own) else 0  # it may go on in the next batch
+            rest = own.iloc[last:]
+            yield proposed(own.iloc[:last])
+        if rest is not None:
+            yield proposed(rest)
 
-def _proposed(own: pd.DataFrame) -> pd.DataFrame:
-    start, size = _groups(own.key.to_numpy())
-    hot = size > FULL
-    if len(start):
-        hot |= np.logical_or.reduceat(own.over.to_numpy(dtype=bool), start)
-    return pd.DataFrame(dict(zip(("a", "b", "hot"), _pairs(own.a.to_numpy(), start, size, hot), strict=True)))
+    return run
 
 
 def common_shingles(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -224,20 +279,25 @@ def linked(sig_x: np.ndarray, x: list[np.ndarray], sig_y: np.ndarray, y: list[np
     return out
 
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric adjacency matrix."""
-    left, edges = np.ones(len(near), dtype=bool), []
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a tree of bounded degree over each connected set of a symmetric adjacency matrix."""
+    left, a, b = np.ones(len(near), dtype=bool), [], []
     for s in range(len(near)):
         if not left[s]:
             continue
-        left[s], open_ = False, [s]
+        left[s], open_, own = False, [s], [s]
         while open_:
-            u = open_.pop()
-            new = np.flatnonzero(near[u] & left)
+            new = np.flatnonzero(near[open_.pop()] & left)
             left[new] = False
-            edges += [(u, int(v)) for v in new]
             open_ += new.tolist()
-    return edges
+            own += new.tolist()
+        if len(own) > 1:
+            c = np.sort(own)
+            up = tree_parents(np.zeros(1, dtype=np.int64), np.array([len(c)]))
+            a.append(c[up[1:]])
+            b.append(c[1:])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _two_blocks(least: dict[int, int], threshold: float):
@@ -258,37 +318,47 @@ def _two_blocks(least: dict[int, int], threshold: float):
             n = int(np.count_nonzero(block == i))
             near[:n, n:] = linked(sig[:n], s[:n], sig[n:], s[n:], least, threshold)
             near[n:, :n] = near[:n, n:].T
-        number, edges = near.sum(axis=1), _forest(near)
+        number, (x, y) = near.sum(axis=1), _forest(near)
         some = np.flatnonzero(number)
-        a = np.concatenate([node[some], node[np.array([e[0] for e in edges], dtype=np.int64)]])
-        b = np.concatenate([node[some], node[np.array([e[1] for e in edges], dtype=np.int64)]])
-        count = np.concatenate([number[some], np.zeros(len(edges), dtype=np.int64)])
+        a, b = np.concatenate([node[some], node[x]]), np.concatenate([node[some], node[y]])
+        count = np.concatenate([number[some], np.zeros(len(x), dtype=np.int64)])
         return pa.table({"a": pa.array(np.where(a < b, a, b)), "b": pa.array(np.where(a < b, b, a)), "n": pa.array(count, pa.int64())})
 
     return run
 
 
-def _id():
-    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-
-
-def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(node, doc_id, set_hash, sig) of each row."""
+def signatures(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(row key, doc_id, h1, h2, sig) of each row: the hashes of its shingle set, and its MinHash values."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-        return pa.record_batch([batch.column("node"), batch.column("doc_id"), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["node", "doc_id", "set_hash", "sig"])
+        one, two = zip(*map(set_hash, sets), strict=True)
+        kept = [batch.column(c) for c in (*ROW, "doc_id")]
+        return pa.record_batch([*kept, pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=[*ROW, "doc_id", "h1", "h2", "sig"])
+
+    return map_batches(keyed.select(*ROW, "doc_id", "text"), run, f"{ROW[0]} long, {ROW[1]} long, doc_id long, h1 long, h2 long, sig binary")
+
+
+def proposals(classes: DataFrame) -> DataFrame:
+    """(a, b, hot) over ``classes`` (node, sig): the pairs that bands propose, and the edges of hot groups."""
+    n = partitions(classes.sparkSession)
 
-    return map_batches(docs.select(_id().alias("node"), "doc_id", "text"), run, "node long, doc_id long, set_hash long, sig binary")
+    def reduced(rows: DataFrame, banded: bool) -> DataFrame:
+        return rows.repartition(n, "key").sortWithinPartitions("done", "key", "a").mapInPandas(_bucket_pairs(banded), "a long, b long, hot boolean")
+
+    first = cut(reduced(classes.select("node", "sig").mapInArrow(_band_rows, BUCKETS), True), "buckets")
+    large = first.where("hot").groupBy(F.col("a").alias("node")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b AS INT))")).alias("bands"))
+    finer = large.hint("shuffle_merge").join(classes.select("node", "sig"), "node").select("node", "sig", "bands")
+    second = reduced(finer.mapInArrow(_finer_rows, BUCKETS), False)
+    out = cut(first.where("not hot").unionByName(second).distinct(), "pairs")
+    discard(first)
+    return out
 
 
-def similar_pairs(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Of ``classes`` (node, sig): verified links (a, b) that connect all that are similar, and
-    (node, n_links), the number of all links of each that has any."""
-    n = partitions(docs.sparkSession)
-    rows = classes.where("set_hash <> 0").select("node", "sig").mapInArrow(_band_rows, "key long, a long, b long, over boolean, star boolean")
-    dealt = rows.repartition(n, "key").sortWithinPartitions("star", "key", "a")
-    proposed = cut(dealt.mapInPandas(_bucket_pairs, "a long, b long, hot boolean").distinct(), "pairs")
+def similar_pairs(keyed: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Of ``classes`` (node, sig, and the key of a row that has it): verified links (a, b) that connect all
+    that are similar, and (node, n_links), the number of all links of each that has any."""
+    proposed = proposals(classes)
     hot = components(proposed.where("hot").select("a", "b"))
     group = lambda x: hot.select(F.col("node").alias(x), F.col("label").alias(f"group_{x}"))
     pairs = proposed.where("not hot").select("a", "b").join(group("a"), "a", "left").join(group("b"), "b", "left")
@@ -303,20 +373,22 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, threshold: float = THRESH
 
     kept = cut(map_batches(pairs.join(left, "a").join(right, "b"), prune, "a long, b long", PAIRS), "kept")
     wanted = kept.select(F.col("a").alias("node")).union(kept.select("b")).union(hot.select("node")).distinct()
-    texts = docs.select(_id().alias("node"), "text").join(wanted.hint("shuffle_merge"), "node", "left_semi")  # one plan at every size
+    wanted = wanted.join(classes.select("node", *ROW), "node")
+    texts = keyed.select(*ROW, "text").join(wanted.hint("shuffle_merge"), list(ROW)).select("node", "text")  # one plan at every size
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column("node"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "s"])
 
-    sets = cut(map_batches(texts, shingled, "node long, s binary").groupBy("node").agg(F.min("s").alias("s")), "sets")
+    sets = cut(map_batches(texts, shingled, "node long, s binary"), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         u64 = lambda c: (np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist())
         return pa.record_batch([batch.column("a"), batch.column("b"), pa.array([jaccard(x, y) for x, y in zip(u64("s_a"), u64("s_b"), strict=True)], pa.float64())], names=["a", "b", "similarity"])
 
-    found = cut(map_batches(kept.join(left, "a").join(right, "b"), verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold), "links").select("a", "b")
+    found = cut(map_batches(kept.join(left, "a").join(right, "b"), verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b"), "links")
     inside = cut(blocks(hot, classes, sets).groupBy("label", "i", "j").applyInArrow(_two_blocks(least, threshold), "a long, b long, n long"), "inside")
+    discard(proposed, kept, sets)
     ends = found.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n")).union(inside.where("n > 0").select("a", "n"))
     return found.union(inside.where("n = 0").select("a", "b")), ends.groupBy("node").agg(F.sum("n").alias("n_links"))
 
@@ -326,11 +398,32 @@ def blocks(hot: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     every block of its group, so that blocks i <= j of a group come together."""
     sizes = hot.join(sets, "node").groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("s")).alias("bytes"))
     number = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    placed = hot.join(sizes.select("label", number.alias("number")), "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("number")).cast("int"))
+    sizes = cut(sizes.select("label", "n", number.alias("number")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = heavy_join(hot, sizes, ["label"], "n", total).withColumn("block", F.pmod(F.xxhash64("node"), F.col("number")).cast("int"))
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("number") - 1))).select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node")
     return dealt.join(classes.select("node", "sig"), "node").join(sets, "node")
 
 
+def _joined(docs: DataFrame, threshold: float, tolerance: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """The stored docs, and (row key, doc_id, label, class_id, copy_of, n_copies, n_links) of each row."""
+    stored, keyed = with_rows(docs, "doc_id", "text")
+    rows = cut(signatures(keyed, width), "signatures")
+    one = F.min(F.struct(*ROW)).alias("row")
+    merged = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of"), one, F.min("sig").alias("sig"), F.count("*").alias("n_copies"))
+    classes = cut(merged.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "copy_of", "row.*", "sig", "n_copies"), "classes")
+    total = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n_copies"), F.lit(0)).alias("rows")).first()
+    links, ends = similar_pairs(keyed, classes.where("h1 <> 0 OR h2 <> 0"), threshold, tolerance, width)
+    found = components(links).join(ends, "node")
+    known = classes.select("node", "h1", "h2", "copy_of", "n_copies").join(found, "node", "left").withColumns({"label": F.coalesce("label", "node"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
+    groups = known.groupBy("label").agg(F.min("copy_of").alias("lead"), F.min("h1").alias("h"), F.count("*").alias("n"))
+    shared = groups.where("lead IS NOT NULL").groupBy(F.col("lead").alias("id")).agg(F.count("*").alias("k")).where("k > 1")
+    made = F.lit(-(1 << 62)) - F.col("h").bitwiseAND(F.lit((1 << 62) - 1))
+    named = groups.join(shared, F.col("lead") == F.col("id"), "left").select("label", F.when(F.col("lead").isNull() | F.col("id").isNotNull(), made).otherwise(F.col("lead")).alias("class_id"), "n")
+    known = heavy_join(known.drop("node"), named, ["label"], "n", total.classes).drop("n")
+    return stored, heavy_join(rows.select(*ROW, "doc_id", "h1", "h2"), known, ["h1", "h2"], "n_copies", total.rows)
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH) -> DataFrame:
     """(doc_id, class_id, copy_of, n_copies, n_links) of each row.
 
@@ -338,22 +431,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     ``copy_of`` is the least id with the same shingles, of which there are ``n_copies``, and
     ``n_links`` the number of verified links from those to other shingle sets, all of them.
     """
-    rows = cut(signatures(docs, width), "signatures")
-    classes = cut(rows.groupBy("set_hash").agg(F.min("node").alias("node"), F.min("sig").alias("sig"), F.count("*").alias("n_copies")), "classes")
-    links, ends = similar_pairs(docs, classes, threshold, tolerance, width)
-    found = components(links).join(ends, "node")
-    known = classes.select("set_hash", "node", "n_copies").join(found, "node", "left").select("set_hash", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.select("doc_id", "set_hash").join(known, "set_hash").select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+    return _joined(docs, threshold, tolerance, width)[1].select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, with one row of each class of similar texts: that of the least id (of
-    repeated rows of that id, one). Rows without an id are kept."""
-    found = cut(join(docs, threshold), "classes")
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti")
-    repeats = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if repeats.isEmpty():
-        return kept.select(*docs.columns)
-    single = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return single.unionByName(kept.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """``docs``, all columns, with one row of each class of similar texts: that of the least id, of
+    several the first stored. Rows without an id come after all others."""
+    stored, found = _joined(docs, threshold, TOLERANCE, WIDTH)
+    found = cut(found.select(*ROW, "doc_id", "label"), "labelled")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)
+    several = found.groupBy("label").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+    total = found.count()
+    gone = heavy_join(found, several, ["label"], "n", total).where(~((F.col("first")[ROW[0]] == F.col(ROW[0])) & (F.col("first")[ROW[1]] == F.col(ROW[1])))).select(*ROW)
+    _, keyed = with_rows(stored)
+    return keyed.join(gone.hint("shuffle_merge"), list(ROW), "left_anti").select(*docs.columns)

@@ -10,12 +10,17 @@ again by hash, so every block has the target weights.
 
 By default the budget is as many tokens as make the source that is drawn least appear once, so
 that no row is lost. Running sums are taken over hash ranges of a source's rows: totals of ranges
-first, then within a range, so that a source of any size is spread over many tasks.
+first, then within a range, so that a source of any size is spread over many tasks. A row is told apart by
+its place in the stored files, which is part of the hash, so repeated rows and rows without id are
+spread like all others.
+
+The sources' totals come to the driver, where weights are bisected, and their plan goes to all executors:
+at most ``MOST_SOURCES`` of them; more raise an error before anything is collected.
 
 Defined results: a null source is a source of its own; a null or empty text has no token: it is drawn
-once in each permutation that is begun before the budget is met; repeated rows are drawn as
-often as they occur; ties of the hash go to the lower id; an empty table gives an empty result;
-other columns are ignored. Weights are rounded to twelve digits before they are used.
+once in each permutation that is begun before the budget is met, and a source of such rows alone is dealt
+to blocks by hash; repeated rows are drawn each for itself; ties of the hash go to the lower id; an empty
+table gives an empty result; other columns are ignored. Weights are rounded to twelve digits before use.
 """
 
 from __future__ import annotations
@@ -25,11 +30,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cut
+from pagemill.llm.common import ROW, cut, partitions, with_rows
 
 #: The share of the largest possible entropy to reach, the most often that a row may be drawn,
-#: tokens of a block, rows of a hash range.
-ENTROPY, REPEATS, BLOCK, RANGE = 0.97, 2.0, 1 << 20, 4096
+#: tokens of a block, rows of a hash range, sources.
+ENTROPY, REPEATS, BLOCK, RANGE, MOST_SOURCES = 0.97, 2.0, 1 << 20, 4096, 100_000
 
 
 def weights(tokens: dict, entropy: float | None = ENTROPY, repeats: float | None = REPEATS) -> tuple[float, dict]:
@@ -75,23 +80,21 @@ def token_count(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*+(\S)\S*+|\s++", "$1")).cast("long")
 
 
-def mixture(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, budget: int | None = None, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, tokens, epoch, block, place) of each drawn row: the permutation of its
-    source that it was drawn in, its block of the output and its place in that block.
-
-    Only ids, sources and token counts are shuffled.
-    """
-    rows = cut(docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")), "tokens")
-    stats = {r.source: (r.tokens, r.n) for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}  # a row for each source
-    spark = docs.sparkSession
+def _placed(keyed: DataFrame, entropy: float | None, repeats: float | None, budget: int | None, block: int, seed: str) -> tuple[DataFrame, int]:
+    """(row key, doc_id, source, tokens, epoch, block, h) of each drawn row, and the number of blocks."""
+    rows = cut(keyed.select(*ROW, "doc_id", "source", token_count(F.col("text")).alias("tokens")), "tokens")
+    found = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    stats = {r.source: (r.tokens, r.n) for r in found}
     _, w = weights({s: t for s, (t, _) in stats.items()}, entropy, repeats)
     total = budget if budget is not None else math.ceil(max([t / w[s] for s, (t, _) in stats.items() if w[s]], default=0))
     goal = {s: (round(w[s] * total) if budget is not None else max(t, round(w[s] * total))) for s, (t, _) in stats.items()}
     blocks = max(1, -(-total // block))
     plan = [(s, t, goal[s], max(1, -(-n // RANGE)), (max(1, -(-goal[s] // t)) if t else 1)) for s, (t, n) in stats.items()]
-    plan = spark.createDataFrame(plan, "source string, own long, goal long, ranges long, epochs long")
+    plan = rows.sparkSession.createDataFrame(plan, "source string, own long, goal long, ranges long, epochs long")
     drawn = rows.join(F.broadcast(plan), rows.source.eqNullSafe(plan.source)).drop(plan.source).select("*", F.explode(F.sequence(F.lit(0), (F.col("epochs") - 1).cast("int"))).alias("epoch"))
-    drawn = drawn.withColumn("h", F.xxhash64(F.lit(seed), "epoch", F.coalesce("doc_id", F.lit(-1)))).withColumn("range", F.pmod(F.shiftrightunsigned("h", 20), "ranges"))
+    drawn = drawn.withColumn("h", F.xxhash64(F.lit(seed), "epoch", F.coalesce("doc_id", F.lit(-1)), *ROW)).withColumn("range", F.pmod(F.shiftrightunsigned("h", 20), "ranges"))
     sums = drawn.groupBy("source", "epoch", "range").agg(F.sum("tokens").alias("n"))
     group = F.floor(F.col("range") / 1024)
     coarse = sums.groupBy("source", "epoch", group.alias("group")).agg(F.sum("n").alias("n"))
@@ -100,17 +103,37 @@ def mixture(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | N
     fine = sums.withColumn("group", group).withColumn("within", F.coalesce(F.sum("n").over(over("source", "epoch", "group").orderBy("range")), F.lit(0)))
     base = fine.alias("f").join(coarse.alias("c"), F.col("f.source").eqNullSafe(F.col("c.source")) & (F.col("f.epoch") == F.col("c.epoch")) & (F.col("f.group") == F.col("c.group"))).select(F.col("f.source").alias("s"), F.col("f.epoch").alias("e"), F.col("f.range").alias("r"), (F.col("within") + F.col("base")).alias("start"))
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    own = drawn.withColumn("before", F.coalesce(F.sum("tokens").over(over("source", "epoch", "range").orderBy("h", "doc_id", "tokens")), F.lit(0))).withColumn("k", key)
+    own = drawn.withColumn("before", F.coalesce(F.sum("tokens").over(over("source", "epoch", "range").orderBy("h", "doc_id", *ROW)), F.lit(0))).withColumn("k", key)
     base = base.withColumn("k2", F.coalesce(F.concat(F.lit("="), "s"), F.lit("-")))
     placed = own.join(base, (F.col("k") == F.col("k2")) & (F.col("epoch") == F.col("e")) & (F.col("range") == F.col("r"))).withColumn("at", F.col("epoch") * F.col("own") + F.col("start") + F.col("before"))
     kept = placed.where((F.col("at") < F.col("goal")) | (F.col("epoch") == 0) & (F.col("own") <= F.col("goal")))
-    to_block = F.least(F.floor(F.col("at") * blocks / F.greatest(F.col("goal"), F.lit(1))), F.lit(blocks - 1)).cast("long")
-    order = Window.partitionBy("block").orderBy(F.xxhash64("h", "epoch"), "doc_id", "epoch", "at")
-    return kept.select("doc_id", "source", "tokens", "epoch", "h", "at", to_block.alias("block")).withColumn("place", F.row_number().over(order).cast("long") - 1).select("doc_id", "source", "tokens", "epoch", "block", "place")
+    by_budget = F.least(F.floor(F.col("at") * blocks / F.greatest(F.col("goal"), F.lit(1))), F.lit(blocks - 1))
+    to_block = F.when(F.col("own") == 0, F.pmod("h", F.lit(blocks))).otherwise(by_budget).cast("long")
+    return kept.select(*ROW, "doc_id", "source", "tokens", "epoch", to_block.alias("block"), F.xxhash64("h", "epoch").alias("h")), blocks
+
 
+_WITHIN = ("h", "doc_id", "epoch", *ROW)
 
-def drawn(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, each row as often as the mixture draws it."""
-    times = mixture(docs, **options).groupBy("doc_id").agg(F.countDistinct("epoch").cast("int").alias("__n")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__k")).drop("__k")
+
+def mixture(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, budget: int | None = None, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+    """(doc_id, source, tokens, epoch, block, place) of each drawn row: the permutation of its
+    source that it was drawn in, its block of the output and its place in that block.
+
+    Only ids, sources and token counts are shuffled.
+    """
+    _, keyed = with_rows(docs, "doc_id", "source", "text")
+    placed, _ = _placed(keyed, entropy, repeats, budget, block, seed)
+    order = Window.partitionBy("block").orderBy(*_WITHIN)
+    return placed.withColumn("place", F.row_number().over(order).cast("long") - 1).select("doc_id", "source", "tokens", "epoch", "block", "place")
+
+
+def drawn(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, budget: int | None = None, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+    """``docs``, all columns, a row for each row of the mixture, in its order: partitions hold blocks one
+    after the other, and rows lie in each by their places."""
+    stored, keyed = with_rows(docs, "doc_id", "source", "text")
+    placed, blocks = _placed(keyed, entropy, repeats, budget, block, seed)
+    draws = placed.select(*ROW, F.col("epoch").alias("__epoch"), F.col("block").alias("__block"), F.col("h").alias("__h"))
+    n = partitions(docs.sparkSession)
+    rows = with_rows(stored)[1].join(draws.hint("shuffle_merge"), list(ROW))  # one plan at every size
+    dealt = rows.repartitionById(n, F.floor(F.col("__block") * n / blocks).cast("int"))
+    return dealt.sortWithinPartitions("__block", *["__" + c if c in ("h", "epoch") else c for c in _WITHIN]).select(*docs.columns)
