@@ -145,21 +145,33 @@ def alnum(points: np.ndarray) -> np.ndarray:
     return _alnum[np.minimum(points, (1 << 17) - 1)]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash for each maximal run of letters and digits of the lower-cased text."""
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """Where words begin and end in the lower-cased text, and a hash of its spans."""
     c = codepoints(text.lower())
-    if not len(c):
-        return np.zeros(0, dtype=np.uint64)
     m = np.zeros(len(c) + 2, dtype=np.int8)
     m[1:-1] = alnum(c)
     edge = np.diff(m)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return np.zeros(0, dtype=np.uint64)
     up, down = _powers(len(c) + 1)
     total = np.zeros(len(c) + 1, dtype=np.uint64)
     np.cumsum((c.astype(np.uint64) + np.uint64(1)) * up[: len(c)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    return start, end, lambda a, b: mix((total[b] - total[a]) * down[a])
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash for each maximal run of letters and digits of the lower-cased text."""
+    start, end, hashed = _words(text)
+    return hashed(start, end)
+
+
+def word_and_prefix_hashes(text: str, sizes: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the words, and of the beginnings, of so many characters, of longer words."""
+    start, end, hashed = _words(text)
+    out = [hashed(start, end)]
+    for n in sizes:
+        long = start[end - start > n]
+        out.append(mix(hashed(long, long + n) ^ np.uint64(n)))
+    return np.concatenate(out)
 
 
 def shingle_hashes(text: str, width: int = 5) -> np.ndarray:

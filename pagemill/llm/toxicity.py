@@ -1,12 +1,13 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A term is a maximal run of letters and digits of the lower-cased text, hashed into buckets; a text
-is the set of its buckets. The machine adds a bias, a weight for each bucket and, for each pair
+A term is a maximal run of letters and digits of the lower-cased text, or the beginning of a longer one
+(``PREFIXES`` characters: stems that endings hide), hashed into buckets; a text is the set of its buckets. The machine adds a bias, a weight for each bucket and, for each pair
 of buckets, the dot product of their factors, so that two terms can be toxic together where
 neither is alone.
 
 Training reads a bounded sample of labelled rows (at most about ``per_class`` of either label,
-chosen by a hash of the id; the bias is corrected for the two rates). Buckets enter the model if
+chosen by a hash of the id; the bias is corrected for the two rates; of several labels of one id the
+greatest counts). Buckets enter the model if
 they tell the labels apart, over all sampled rows or among the rows that have a bucket which
 does. Scoring reads every text, whole.
 
@@ -24,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import map_batches, unit_hash, word_hashes
+from pagemill.llm.common import map_batches, unit_hash, word_and_prefix_hashes
 
 #: Buckets (a power of two), factors of each, sampled rows of each label, the least chi-square of
 #: a bucket, rounds of training, and the score from which a text is called toxic.
 BUCKETS, FACTORS, PER_CLASS, LEAST_CHI, ROUNDS, THRESHOLD = 1 << 20, 4, 8000, 15.0, 300, 0.7
 
 
+PREFIXES = (5, 6, 7)
+
+
 def terms(text: str | None) -> np.ndarray:
     """The distinct buckets of a text."""
-    return np.unique(word_hashes(text or "") & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return np.unique(word_and_prefix_hashes(text or "", PREFIXES) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _chi(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -110,6 +114,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, offset: float = 0.0, least_
 def train(docs: DataFrame, labels: DataFrame, rows: Column, per_class: int = PER_CLASS) -> Machine:
     """A machine from a bounded sample of the labelled ``rows``."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & rows)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rate = {k: min(1.0, per_class / n) for k, n in counts.items()}
     limit = F.when(F.col("toxic") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0)))
