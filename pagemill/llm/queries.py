@@ -34,7 +34,8 @@ def op5_lstm_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.findings(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.findings(docs, secrets.train(secrets.labelled_findings(spark), secrets.dictionary(docs)))
 
 
 def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

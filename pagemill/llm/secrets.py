@@ -3,7 +3,8 @@
 Candidates are found by one pattern: assignments to a name that speaks of a credential, private
 key blocks, and long tokens that hold a digit. Each is described by its length, character
 classes and the transitions between them, its share covered by dictionary words, whether it or
-its surroundings look like a path, and the words around it. The forest is grown level by level
+its surroundings look like a path, and the words around it. The dictionary is the corpus's own: the
+``DICTIONARY`` words that most of its documents hold, counted over all of them, beside a few fixed ones. The forest is grown level by level
 from labelled findings with DataFrame aggregations (Poisson-like bootstrap by hash, a random
 subset of features at each node) and scored as one SQL expression, so text never leaves the JVM.
 
@@ -18,12 +19,13 @@ columns of the input are ignored. Texts of any length are scanned whole.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cut
+from pagemill.llm.common import cut, discard
 
 #: Names that speak of a credential.
 NAMES = "passwords?|passwd|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth[_-]?keys?|private[_-]?keys?|client[_-]?secret|credentials?|bearer"
@@ -32,8 +34,8 @@ _TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 _LOOSE = rf"\b(?i:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}[\"']?[^\s\"'<>]{{6,}}+"
 CANDIDATE = f"{_BLOCK}|{_LOOSE}|{_TOKEN}"
 _VALUE = rf"^(?:(?i:{NAMES})[\"']?\s*[:=]+>?\s*[\"']?)?([\s\S]*)$"
-#: Code points of context kept on either side.
-CONTEXT = 48
+#: Code points of context kept on either side; words of the corpus's dictionary, and their least length.
+CONTEXT, DICTIONARY, LEAST_LETTERS = 48, 4000, 4
 #: Frequent words and word parts that speak against chance (a fixed list, longest first).
 WORDS = "example|password|changeme|version|function|default|config|string|object|number|update|secret|sample|dummy|value|index|class|token|error|admin|image|table|state|event|query|test|true|null|name|data|file|user|type|node|item|list|page|text|time|code|http|your|this|that|with|from|here"
 
@@ -42,13 +44,31 @@ def _count(c: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(c, pattern, ""))
 
 
-def describe(before: Column, found: Column, after: Column) -> Column:
-    """The features of a candidate as a struct of doubles."""
+def dictionary(docs: DataFrame, most: int = DICTIONARY, least_letters: int = LEAST_LETTERS) -> tuple[str, ...]:
+    """The ``most`` words of letters alone that most documents hold, counted over all of them."""
+    letters = rf"(?<![\p{{L}}\d])\p{{L}}{{{least_letters},24}}+(?![\p{{L}}\d])"
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(letters), F.lit(0))))
+    counted = docs.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return tuple(r.word for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def describe(before: Column, found: Column, after: Column, words: Sequence[str] = ()) -> Column:
+    """The features of a candidate as a struct of doubles; ``words`` are the dictionary."""
     value = F.regexp_extract(found, _VALUE, 1)
-    return features(before, value, after, F.length(value) < F.length(found))
+    return features(before, value, after, F.length(value) < F.length(found), words)
+
+
+def _covered(value: Column, words: Sequence[str]) -> Column:
+    """How many characters of ``value`` belong to words: fixed ones anywhere, others as runs of letters."""
+    fixed = F.length(value) - F.length(F.regexp_replace(F.lower(value), WORDS, ""))
+    if not words:
+        return fixed
+    parts = F.regexp_extract_all(F.regexp_replace(value, r"(\p{Ll})(\p{Lu})", "$1 $2"), F.lit(r"\p{L}{4,}+"), F.lit(0))
+    own = F.filter(F.transform(parts, F.lower), lambda w: w.isin(*words))
+    return F.greatest(fixed, F.aggregate(own, F.lit(0), lambda n, w: n + F.length(w)))
 
 
-def features(before: Column, value: Column, after: Column, named: Column) -> Column:
+def features(before: Column, value: Column, after: Column, named: Column, words: Sequence[str] = ()) -> Column:
     """Length, character classes, transitions, dictionary coverage, path and neighbouring words."""
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "[^aB0]", "-"), "", "")
@@ -62,8 +82,8 @@ def features(before: Column, value: Column, after: Column, named: Column) -> Col
         "marks": _count(value, "[A-Za-z0-9]") / n,
         "changes": (F.length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1) / n,
         "hex": flag(low.rlike("^[0-9a-f-]+$")),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(n, F.lit(64.0)),
-        "words": 1 - F.length(F.regexp_replace(low, WORDS, "")) / n,
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
+        "words": _covered(value, words) / n,
         "vowels": _count(low, "[^aeiou]") / n,
         "path": flag(value.rlike(r"/[a-z]+/|^/|\.[a-z]{2,4}$") | F.lower(before).rlike(r"(https?:|[a-z0-9]/|\\)[^\s]*$")),
         "named": flag(named | F.lower(before).rlike(rf"(?:{NAMES})\W{{0,6}}$")),
@@ -118,9 +138,10 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
 
 @dataclass
 class Forest:
-    """Trees as nested tuples: (feature, cut, left, right), or the share of label 1."""
+    """Trees as nested tuples: (feature, cut, left, right), or the share of label 1; and the dictionary."""
 
     trees: list
+    words: tuple[str, ...] = ()
 
     def score(self, f: Column) -> Column:
         """The mean share over all trees, as an expression over the features' struct."""
@@ -141,10 +162,10 @@ class Forest:
 TREES, DEPTH, CUTS, TRIED = 12, 6, 16, 5
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, cuts: int = CUTS, tried: int = TRIED) -> Forest:
+def train(findings: DataFrame, words: Sequence[str] = (), trees: int = TREES, depth: int = DEPTH, cuts: int = CUTS, tried: int = TRIED) -> Forest:
     """A forest from labelled findings, whatever their number: each level is one aggregation to
     counts by (tree, node, feature, bin), which alone reach the driver."""
-    raw = cut(findings.where(F.col("label").isin(0, 1)).select(describe(F.coalesce("before", F.lit("")), F.coalesce("found", F.lit("")), F.coalesce("after", F.lit(""))).alias("f"), F.col("label").cast("double").alias("y"), F.xxhash64("before", "found", "after").alias("h")), "features")
+    raw = cut(findings.where(F.col("label").isin(0, 1)).select(describe(F.coalesce("before", F.lit("")), F.coalesce("found", F.lit("")), F.coalesce("after", F.lit("")), words).alias("f"), F.col("label").cast("double").alias("y"), F.xxhash64("before", "found", "after").alias("h")), "features")
     grid = [i / cuts for i in range(1, cuts)]
     found = raw.agg(*[F.percentile_approx(f"f.{n}", grid, 1000).alias(n) for n in FEATURES]).first()
     edges = {n: sorted(set(found[n] or [])) for n in FEATURES}
@@ -198,7 +219,8 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, cuts: int
         at = built.get((t, node), 0.5)
         return at if isinstance(at, float) else (at[0], at[1], tree(t, 2 * node), tree(t, 2 * node + 1))
 
-    return Forest([tree(t, 1) for t in range(trees)])
+    discard(raw, binned)
+    return Forest([tree(t, 1) for t in range(trees)], tuple(words))
 
 
 def _split(text: Column) -> tuple[Column, Column]:
@@ -219,7 +241,7 @@ def findings(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFra
     one = rows.select("doc_id", F.explode(_described(F.col("found"), F.col("rest"))).alias("c")).select("doc_id", "c.*")
     value = F.regexp_extract("found", _VALUE, 1)
     kind = F.when(F.col("found").startswith("-----BEGIN"), "private key").when(F.length(value) < F.length("found"), "assignment").otherwise("token")
-    scored = one.select("doc_id", "ordinal", kind.alias("kind"), F.length(value).alias("length"), F.sha2(value, 256).alias("secret_sha256"), describe(F.col("before"), F.col("found"), F.col("after")).alias("f"))
+    scored = one.select("doc_id", "ordinal", kind.alias("kind"), F.length(value).alias("length"), F.sha2(value, 256).alias("secret_sha256"), describe(F.col("before"), F.col("found"), F.col("after"), forest.words).alias("f"))
     return scored.select("doc_id", "ordinal", "kind", "length", "secret_sha256", forest.score(F.col("f")).alias("score")).withColumn("secret", F.col("score") >= threshold)
 
 
@@ -231,7 +253,7 @@ def redacted(docs: DataFrame, forest: Forest, threshold: float = 0.5, mask: str
         value = F.regexp_extract(c["found"], _VALUE, 1)
         name = F.substring(c["found"], F.lit(1), F.length(c["found"]) - F.length(value))
         # the inner transform binds the features, so that each is computed once
-        score = F.get(F.transform(F.array(describe(c["before"], c["found"], c["after"])), forest.score), F.lit(0))
+        score = F.get(F.transform(F.array(describe(c["before"], c["found"], c["after"], forest.words)), forest.score), F.lit(0))
         return F.when(score >= threshold, F.concat(name, F.lit(mask))).otherwise(c["found"])
 
     parts = docs.withColumns({"__found": F.when(F.col("text").rlike(CANDIDATE), found), "__rest": F.when(F.col("text").rlike(CANDIDATE), rest)})
