@@ -12,7 +12,8 @@ names in use for each. No page of the corpus is needed for training.
 
 Defined results: null and empty html, and pages without content, give an empty text; text outside any
 body element counts as body text; unclosed elements end with their parent or, where HTML says
-so, with the next sibling; comments, scripts, styles and markup are never text; character
+so, with the next sibling; comments, scripts, styles, drawings, form fields and markup are never text, formulas
+and what an object falls back to are; character
 references are decoded once; repeated rows are extracted alike; pages of any length are read whole;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -33,9 +35,11 @@ from pagemill.llm.common import map_batches
 #: Lengths of the path, word and shape parts of a block's vector, and of the state of a direction.
 PATH, WORDS, SHAPE, STATE = 96, 24, 8, 16
 _SIZE = PATH + WORDS + SHAPE
-_RAW = frozenset(("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "head", "select", "object", "math"))
+#: Blocks, with padding, that are labelled at a time.
+CELLS = 1 << 14
+_RAW = frozenset(("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "head", "select"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"))
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var button".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var button object math mi mn mo mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace mstyle semantics annotation".split())
 #: Elements that an opening tag of the same group ends, up to the nearest of the bounds.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOUNDS = frozenset(("ul", "ol", "dl", "table", "body", "html", "article", "section", "div", "main", "aside", "nav"))
@@ -107,7 +111,7 @@ def blocks(html: str | None) -> list[Block]:
                 at = end.start() if end else len(page)
             elif not m[3].rstrip().endswith("/"):
                 at = end.end() if end else len(page)
-            if name not in ("svg", "math", "select", "textarea", "object", "iframe"):
+            if name not in ("svg", "select", "textarea", "iframe"):
                 close()
             continue
         elif name in _VOID:
@@ -163,10 +167,10 @@ def vectors(page: list[Block]) -> np.ndarray:
                 row[_place("own " + name, PATH)[0]] = 1.0
             for w in words:
                 row[_place("." + w, PATH)[0]] = 1.0
-        found = _WORD.findall(b.text[:400].lower())[:24]
-        for w in found:
+        found = _WORD.findall(b.text.lower())
+        for w, times in Counter(found).items():
             i, sign = _place(w, WORDS)
-            row[PATH + i] += sign
+            row[PATH + i] += sign * times
         if found:
             row[PATH : PATH + WORDS] /= np.sqrt(len(found)) * 2
         n = len(b.text)
@@ -190,8 +194,8 @@ class Labeller:
             self.p[f"{d}b"] = np.concatenate([np.ones(STATE), np.zeros(3 * STATE)])
         self.p["x"], self.p["o"], self.p["c"] = np.zeros(_SIZE), rng.normal(0, 0.3, 2 * STATE), np.zeros(1)
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """States (time, pages, STATE); masked steps leave the state as it was."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, learns: bool = True) -> tuple[np.ndarray, list]:
+        """States (time, pages, STATE), and what gradients need; masked steps leave the state as it was."""
         t, n, _ = x.shape
         z = x.reshape(t * n, -1) @ self.p[f"{d}x"] + self.p[f"{d}b"]
         z = z.reshape(t, n, -1)
@@ -204,13 +208,14 @@ class Labeller:
             m = mask[k][:, None]
             c1 = f * c + i * g
             th = np.tanh(c1)
-            kept.append((k, h, c, f, i, o, g, th, m))
+            if learns:
+                kept.append((k, h, c, f, i, o, g, th, m))
             h, c = np.where(m, o * th, h), np.where(m, c1, c)
             out[k] = h
         return out, kept
 
-    def logits(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        f, b = self._run("f", x, mask), self._run("b", x, mask)
+    def logits(self, x: np.ndarray, mask: np.ndarray, learns: bool = True) -> tuple[np.ndarray, tuple]:
+        f, b = self._run("f", x, mask, learns), self._run("b", x, mask, learns)
         both = np.concatenate([f[0], b[0]], axis=2)
         return both @ self.p["o"] + x @ self.p["x"] + self.p["c"][0], (both, f[1], b[1])
 
@@ -254,14 +259,18 @@ class Labeller:
                     self.p[name] = self.p[name] - 0.015 * (m[name] / (1 - 0.9**t)) / (np.sqrt(s[name] / (1 - 0.99**t)) + 1e-8)
         return self
 
-    def label(self, pages: list[list[Block]], size: int = 64) -> list[np.ndarray]:
-        """For each page, which of its blocks are content; pages of like length run together."""
+    def label(self, pages: list[list[Block]], size: int = 64, cells: int = CELLS) -> list[np.ndarray]:
+        """For each page, which of its blocks are content; pages of like length run together, at most
+        ``size`` and, a long page alone aside, at most ``cells`` blocks with their padding."""
         out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for k in range(0, len(order), size):
-            own = order[k : k + size]
+        while order:
+            n = 1
+            while n < min(size, len(order)) and (n + 1) * len(pages[order[n]]) <= cells:
+                n += 1
+            own, order = order[:n], order[n:]
             x, mask = padded([vectors(pages[i]) for i in own])
-            z, _ = self.logits(x, mask)
+            z, _ = self.logits(x, mask, learns=False)
             for j, i in enumerate(own):
                 out[i] = z[: len(pages[i]), j] > 0
         return out
@@ -292,8 +301,9 @@ _ARTICLE = ("article", "main", "main|article", 'div class="content"', 'div id="c
 _SYLLABLES = ("er", "an", "th", "on", "in", "re", "ti", "es", "en", "he", "ment", "eau", "tion", "sch", "ung", "ich", "ou", "que", "ó", "ción", "os", "ar", "é", "ü", "ß", "ñ", "la", "do", "ble", "ing", "ver", "ter")
 
 
-def sample_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
-    """An invented page as (html piece, whether text in it is content)."""
+def sample_page(rng: np.random.Generator, part: int | None = None) -> list[tuple[str, bool]]:
+    """An invented page as (html piece, whether text in it is content); ``part`` 0 or 1 takes every second
+    opening only, so that templates can be held out."""
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     word = lambda: "".join(pick(_SYLLABLES) for _ in range(int(rng.integers(1, 4))))
     mark = pick(("", "", "", "", " |", "***", "!!", ",", "&amp;&amp;&amp;"))
@@ -301,7 +311,7 @@ def sample_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
     ends = lambda opening: "</" + opening.split()[0] + ">"
 
     def around(kind: str) -> list[tuple[str, bool]]:
-        opening = pick(_AROUND[kind])
+        opening = pick(_AROUND[kind] if part is None else _AROUND[kind][part::2])
         items: list[str] = []
         for _ in range(int(rng.integers(1, 6))):
             items.append({
@@ -319,8 +329,8 @@ def sample_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
         return [(f"<{opening}>" + "".join(items) + ends(opening), False)]
 
     def article() -> list[tuple[str, bool]]:
-        wraps = pick(_ARTICLE).split("|")
-        if rng.random() < 0.35:
+        wraps = pick(_ARTICLE if part is None else _ARTICLE[part::2]).split("|")
+        if part is None and rng.random() < 0.35:
             wraps = ["article"]
         out = [("".join(f"<{w}>" for w in wraps), True)]
         if rng.random() < 0.8:
@@ -349,26 +359,26 @@ def sample_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
     return parts
 
 
-def sample(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+def sample(rng: np.random.Generator, part: int | None = None) -> tuple[list[Block], np.ndarray]:
     """The blocks of an invented page and their labels."""
-    parts = sample_page(rng)
+    parts = sample_page(rng, part)
     page = "".join(h for h, _ in parts)
     found = blocks(page)
     # each piece of text is told apart by where its blocks end up when pieces are marked
     marked = blocks("".join(re.sub(r">([^<>]*\w[^<>]*)(?=<|$)", lambda m, c=c: ">" + ("\x01" if c else "\x02") + m[1], h) for h, c in parts))
     labels = np.array(["\x01" in b.text for b in marked], dtype=float)
-    return (found, labels) if len(found) == len(labels) else sample(rng)
+    return (found, labels) if len(found) == len(labels) else sample(rng, part)
 
 
-_trained: dict[tuple[int, int], Labeller] = {}
+_trained: dict[tuple, Labeller] = {}
 
 
-def train(pages: int = 600, seed: int = 3) -> Labeller:
+def train(pages: int = 600, seed: int = 3, part: int | None = None) -> Labeller:
     """A labeller from ``pages`` invented pages; kept for the process."""
-    if (pages, seed) not in _trained:
+    if (pages, seed, part) not in _trained:
         rng = np.random.default_rng(seed)
-        _trained[pages, seed] = Labeller().fit([(vectors(b), y) for b, y in (sample(rng) for _ in range(pages)) if b])
-    return _trained[pages, seed]
+        _trained[pages, seed, part] = Labeller().fit([(vectors(b), y) for b, y in (sample(rng, part) for _ in range(pages)) if b])
+    return _trained[pages, seed, part]
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -380,11 +390,9 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts: list[str] = []
-        rows = batch.column("html").to_pylist()
-        for k in range(0, len(rows), 512):  # blocks of so many pages are held at once
-            found = [blocks(h) for h in rows[k : k + 512]]
-            kept = shared.value.label(found)
-            texts += ["\n".join(b.text for b, ok in zip(p, y, strict=True) if ok) for p, y in zip(found, kept, strict=True)]
+        found = [blocks(h) for h in batch.column("html").to_pylist()]
+        kept = shared.value.label(found)
+        texts += ["\n".join(b.text for b, ok in zip(p, y, strict=True) if ok) for p, y in zip(found, kept, strict=True)]
         return pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return map_batches(pages.select("page_id", "url", "html"), run, SCHEMA)
