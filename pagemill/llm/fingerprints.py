@@ -6,7 +6,8 @@ between very unequal documents stays unbiased.
 
 Defined results: a null text is empty; an empty text has no shingle and an empty sketch; equal
 texts have equal fingerprints; two sketches without any retained hash are alike (1.0) only if
-their digests of all shingles agree, else 0.0. Repeated ids are ordered by their text, a null
+their digests of all shingles agree, else 0.0. A merged sketch has no such digest, and what it says goes by
+the hashes retained; a sketch merged with itself is itself. Repeated ids are ordered by their text, a null
 id comes first. An empty table gives an empty result; further columns of the input are ignored.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import partitions, shingle_hashes
+from pagemill.llm.common import SLICE, partitions, shingle_hashes
 
 #: One of so many hashes is kept, and so many words make a shingle.
 SCALE, WIDTH = 4, 5
@@ -34,6 +35,7 @@ class Sketch:
     digest: int
     hashes: np.ndarray
     scale: int = SCALE
+    whole: bool = True  # number and digest are those of all shingles
 
     @classmethod
     def of(cls, text: str | None, scale: int = SCALE, width: int = WIDTH) -> Sketch:
@@ -44,26 +46,31 @@ class Sketch:
     def __str__(self) -> str:
         body = self.hashes.astype(">u8").tobytes().hex()
         cells = np.frombuffer(body.encode(), dtype="S1").reshape(-1, 16)[:, 16 - _DIGITS :].tobytes().decode() if body else ""
-        return f"{self.scale}:{self.n_shingles}:{self.digest:016x}:{cells}"
+        return f"{self.scale}:{self.n_shingles}:{f'{self.digest:016x}' if self.whole else '-'}:{cells}"
 
     @classmethod
     def parse(cls, text: str) -> Sketch:
         scale, n, digest, body = text.split(":")
         cells = [int(body[i : i + _DIGITS], 16) for i in range(0, len(body), _DIGITS)]
-        return cls(int(n), int(digest, 16), np.array(cells, dtype=np.uint64), int(scale))
+        whole = digest != "-"
+        return cls(int(n), int(digest, 16) if whole else 0, np.array(cells, dtype=np.uint64), int(scale), whole)
 
     def merge(self, other: Sketch) -> Sketch:
         """The sketch of both shingle sets together (their number is then an estimate)."""
         if self.scale != other.scale:
             raise ValueError("sketches of different scales do not merge")
+        if self._same(other):
+            return self
         both = np.union1d(self.hashes, other.hashes)
-        return Sketch(max(self.n_shingles, other.n_shingles, len(both) * self.scale), self.digest ^ other.digest, both, self.scale)
+        return Sketch(max(self.n_shingles, other.n_shingles, len(both) * self.scale), 0, both, self.scale, False)
 
     def common(self, other: Sketch) -> int:
         return len(np.intersect1d(self.hashes, other.hashes, assume_unique=True))
 
     def _same(self, other: Sketch) -> bool:
-        return self.n_shingles == other.n_shingles and self.digest == other.digest
+        if self.whole and other.whole:
+            return self.n_shingles == other.n_shingles and self.digest == other.digest
+        return bool(len(self.hashes)) and np.array_equal(self.hashes, other.hashes)
 
     def jaccard(self, other: Sketch) -> float:
         if self._same(other):
@@ -132,7 +139,7 @@ def fingerprints(docs: DataFrame, scale: int = SCALE, width: int = WIDTH) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         waiting: tuple[int | None, str, Sketch] | None = None
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             out: list[tuple] = []
             for ghost, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("ghost", "doc_id", "text")), strict=True):
                 if ghost and waiting is None:
