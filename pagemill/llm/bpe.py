@@ -9,6 +9,9 @@ The pattern only looks ahead, so two scans that share one boundary share all lat
 as neither is cut off; matches near a chunk's end are therefore not counted, and where the
 overlap holds no common boundary the settled scan goes on until one is found.
 
+The chunks of a text need nothing of each other until they are stitched; here a task scans those of a text
+one after the other, and many texts keep all tasks busy. A text of one chunk or less is one scan.
+
 Defined results: a null text is empty and has no id; repeated rows are encoded alike; texts of
 any length are encoded whole; an empty table gives an empty result; other columns are ignored.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pagemill.llm.common import map_batches
 
 #: Code points of a chunk and of what it shares with the next.
-CHUNK, OVERLAP = 1 << 14, 256
+CHUNK, OVERLAP = 1 << 12, 128
 #: A match is certain that ends so many code points before the end of what is seen (the pattern
 #: looks one code point ahead, and its longest literal has three).
 MARGIN = 8
