@@ -30,7 +30,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redacted(docs, secrets.train(secrets.labelled_findings(spark)))
+    return secrets.redacted(docs, secrets.train(secrets.labelled_findings(spark), secrets.dictionary(docs)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
