@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cut, discard
+from pagemill.llm.common import cut, discard, heavy_join
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,20 +14,22 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round a node takes the least label among its neighbours, then the label of its label, so
     that chains halve; rounds end when no label changes. Each round's labels are written to the
     shared folder, so that a lost executor costs one round at most, and those before are deleted.
-    All links of a node come to one task: callers that only mean that many nodes belong together link them
-    as a tree of bounded degree (``tree_parents``), not as a star.
+    Nodes of many links, such as the least one of a large group, are joined by broadcast, and least labels
+    are taken before they are shuffled, so the links of a node are never in one task.
     """
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    written = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    written = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"), F.count("*").alias("degree")), "labels")
+    total = written.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
     labels = written
     for _ in range(most_rounds):
-        near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        seen = heavy_join(edges.select(F.col("a").alias("n"), F.col("b").alias("node")), labels, ["node"], "degree", total)
+        near = seen.groupBy("n").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("n")).select("node", "degree", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        after = cut(step.join(up, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")), "labels")
+        after = cut(step.join(up, F.col("label") == F.col("up"), "left").select("node", "degree", "old", F.least("label", F.coalesce("top", "label")).alias("label")), "labels")
         discard(written)
-        written, labels = after, after.select("node", "label")
+        written, labels = after, after.select("node", "label", "degree")
         if after.where("label <> old").isEmpty():
             discard(edges)
-            return labels
+            return labels.select("node", "label")
     raise RuntimeError(f"no end after {most_rounds} rounds")

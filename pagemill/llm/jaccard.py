@@ -11,8 +11,8 @@ under finer buckets, each of that band together with one of the ``FINER`` bands
 merely have a form in common part (two texts of similarity s agree on both with s ** 8). A pair of similar
 texts either shares a bucket that is small, or many large ones of which two lie within that reach. Whether
 a bucket is large depends on the number of its members alone, not on how rows lie in partitions.
-Finer buckets that are still large make hot groups (components over trees of bounded degree), and each
-group is compared with itself in blocks. Its members are dealt by hash to blocks of bounded number and
+Finer buckets that are still large make hot groups (components over what connects their members, which
+each task reduces to as few edges as it takes), and each group is compared with itself in blocks. Its members are dealt by hash to blocks of bounded number and
 bytes, every two blocks meet in a task of their own, and what comes out is not the links but each member's
 number of them and a tree of each set of connected members, so that a group of m members gives m / BLOCK
 rows of each and no task holds more than two blocks. The work in such a group is that of all its pairs;
@@ -135,26 +135,44 @@ def _pairs(node: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
 BUCKETS = "key long, a long, b long, over boolean, done boolean"
 
 
-def _filed(key: np.ndarray, node: np.ndarray, band: int | None) -> pa.RecordBatch:
-    """``BUCKETS`` rows that a task passes on: members ``a`` of buckets (``over`` if the task holds more of
-    it than ``FULL`` and passes on the first) and, under keys of their own, what is ``done``: the members
-    of large buckets as (node, band), or without a band the edges of a tree over them."""
+def _filed(key: np.ndarray, node: np.ndarray, band: int | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The columns of ``BUCKETS`` rows that a task passes on: members ``a`` of buckets (``over`` if the task
+    holds more of it than ``FULL`` and passes on the first) and, under keys of their own and with a band,
+    ``done`` the members of such buckets as (node, band). Without a band, the edges of trees over them."""
     order = np.lexsort((node, key))
     k, n = key[order].view(np.int64), node[order]
     start, size = _groups(k)
     place = np.arange(len(n)) - np.repeat(start, size)
     over = np.repeat(size > FULL, size)
     go = ~over | (place == 0)
+    none = np.zeros(0, dtype=np.int64)
     if band is None:
-        a, far = n[tree_parents(start, size)], over & (place > 0)
-        b = n
-    else:
-        a, far = n, over
-        b = np.full(len(n), band, dtype=np.int64)
-    own = mix(k[far].view(np.uint64) ^ mix(n[far].view(np.uint64))).view(np.int64)
-    flags = np.repeat([False, True], [np.count_nonzero(go), np.count_nonzero(far)])
-    cols = [np.concatenate(x) for x in ((k[go], own), (n[go], a[far]), (b[go], b[far]), (over[go], over[far]))]
-    return pa.record_batch([*map(pa.array, cols), pa.array(flags)], names=[x.split()[0] for x in BUCKETS.split(", ")])
+        far = over & (place > 0)
+        return [k[go], n[go], n[go], over[go], np.zeros(np.count_nonzero(go), dtype=bool)], n[tree_parents(start, size)][far], n[far]
+    own, same = mix(k[over].view(np.uint64) ^ mix(n[over].view(np.uint64))).view(np.int64), np.full(len(n), band, dtype=np.int64)
+    flags = np.repeat([False, True], [np.count_nonzero(go), np.count_nonzero(over)])
+    return [*(np.concatenate(x) for x in ((k[go], own), (n[go], n[over]), (same[go], same[over]), (over[go], over[over]))), flags], none, none
+
+
+def _batch(cols: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in cols], names=[x.split()[0] for x in BUCKETS.split(", ")])
+
+
+def least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the least node of each set of nodes that edges connect to its others: as many as they need."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            some = label != np.arange(len(nodes))
+            return nodes[label[some]], nodes[some]
+        label = new
 
 
 def _band_hashes(sig: np.ndarray) -> np.ndarray:
@@ -185,52 +203,68 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if (got := _read(batches)) is not None:
         node, key, _ = got
         for band in range(BANDS):
-            yield _filed(key[:, band], node, band)
+            yield _batch(_filed(key[:, band], node, band)[0])
 
 
 def _finer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if (got := _read(batches)) is not None:
         node, key, large = got
+        x = y = np.zeros(0, dtype=np.int64)
         for band in range(BANDS):
-            own = large[:, band]
+            own, edges = large[:, band], [(x, y)]
             for k in range(1, FINER + 1):
                 if own.any():
-                    yield _filed(mix(key[own, band] ^ mix(key[own, (band + k) % BANDS] + np.uint64(k))), node[own], None)
+                    cols, a, b = _filed(mix(key[own, band] ^ mix(key[own, (band + k) % BANDS] + np.uint64(k))), node[own], None)
+                    edges.append((a, b))
+                    yield _batch(cols)
+            x, y = least_members(*map(np.concatenate, zip(*edges, strict=True)))
+        yes = np.ones(len(x), dtype=bool)
+        yield _batch([mix(y.view(np.uint64)).view(np.int64), x, y, yes, yes])
 
 
 def _bucket_pairs(banded: bool):
-    """(a, b, hot): the pairs of small buckets, and hot what large ones give: members with their band, or the
-    edges of a tree. Rows come sorted by (done, key, a)."""
+    """(a, b, hot): the pairs of small buckets, and hot what large ones give: members with their band, or
+    edges that connect them, each task's as few as it takes. Rows come sorted by (done, key, a)."""
 
-    def proposed(own: pd.DataFrame) -> pd.DataFrame:
+    def proposed(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         node = own.a.to_numpy()
         start, size = _groups(own.key.to_numpy())
         hot = size > FULL
         if len(start):
             hot |= np.logical_or.reduceat(own.over.to_numpy(dtype=bool), start)
-        a, b = _pairs(node, start[~hot], size[~hot])
         within = np.repeat(hot, size)
-        if banded:
-            x, y = node[within], own.b.to_numpy()[within]
-        else:
-            x, y = node[tree_parents(start, size)][within], node[within]
-            x, y = x[x != y], y[x != y]
-        return pd.DataFrame({"a": np.concatenate([a, x]), "b": np.concatenate([b, y]), "hot": np.repeat([False, True], [len(a), len(x)])})
+        other = own.b.to_numpy() if banded else node[tree_parents(start, size)]
+        return *_pairs(node, start[~hot], size[~hot]), node[within], other[within]
+
+    def rows(a: np.ndarray, b: np.ndarray, hot: bool) -> pd.DataFrame:
+        return pd.DataFrame({"a": a, "b": b, "hot": np.full(len(a), hot)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, x = None, np.zeros(0, dtype=np.int64)
+        y = x
+
+        def taken(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal x, y
+            a, b, c, d = proposed(own)
+            yield rows(a, b, False)
+            if banded:
+                yield rows(c, d, True)
+            else:
+                x, y = least_members(np.concatenate([x, d]), np.concatenate([y, c]))
+
         for batch in batches:
             done = batch[batch.done]
             if len(done):
-                yield pd.DataFrame({"a": done.a, "b": done.b, "hot": True})
+                yield rows(done.a.to_numpy(), done.b.to_numpy(), True)
             own = batch[~batch.done]
             if rest is not None:
                 own = pd.concat([rest, own])
             last = int(np.searchsorted(own.key.to_numpy(), own.key.iloc[-1])) if len(own) else 0  # it may go on in the next batch
             rest = own.iloc[last:]
-            yield proposed(own.iloc[:last])
+            yield from taken(own.iloc[:last])
         if rest is not None:
-            yield proposed(rest)
+            yield from taken(rest)
+        yield rows(x, y, True)
 
     return run
 
