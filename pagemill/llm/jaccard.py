@@ -50,6 +50,8 @@ THRESHOLD, WIDTH, VALUES, BANDS, TOLERANCE, STEP = 0.8, 5, 128, 32, 1e-6, 16
 FULL, FINER = 24, 10
 #: Members and bytes of shingles of a block of a hot group; shingles that are multiplied at a time.
 BLOCK, BLOCK_BYTES, COLUMNS = 1024, 16 << 20, 2048
+#: Edges of hot groups that a task reduces to what connects their nodes.
+EDGES = 1 << 22
 #: Pairs whose signatures are compared at a time.
 PAIRS = 4096
 _rng = np.random.default_rng(20240229)
@@ -389,11 +391,24 @@ def proposals(classes: DataFrame) -> DataFrame:
     return out
 
 
+def fewer_edges(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """Edges (a, b) that connect what ``edges`` do, reduced in tasks of about ``most``, by their first node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = y = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            x, y = least_members(np.concatenate([x, batch.column("a").to_numpy()]), np.concatenate([y, batch.column("b").to_numpy()]))
+        yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    n = edges.count()
+    return edges.repartition(-(-n // most) if n else 1, "a").mapInArrow(run, "a long, b long")
+
+
 def similar_pairs(keyed: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Of ``classes`` (node, sig, and the key of a row that has it): verified links (a, b) that connect all
     that are similar, and (node, n_links), the number of all links of each that has any."""
     proposed = proposals(classes)
-    hot = components(proposed.where("hot").select("a", "b"))
+    hot = components(fewer_edges(proposed.where("hot").select("a", "b")))
     group = lambda x: hot.select(F.col("node").alias(x), F.col("label").alias(f"group_{x}"))
     pairs = proposed.where("not hot").select("a", "b").join(group("a"), "a", "left").join(group("b"), "b", "left")
     pairs = pairs.where(F.coalesce(F.col("group_a") != F.col("group_b"), F.lit(True))).select("a", "b")  # others meet in blocks
