@@ -33,6 +33,10 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
+def is_thai(ch: Column) -> Column:
+    return ch.rlike(f"^[{THAI}]$")
+
+
 def has_words(c: Column) -> Column:
     """Whether two letters, Latin or Thai, stand together."""
     return c.rlike(f"[A-Za-z{THAI}]{{2,}}")
@@ -64,6 +68,13 @@ def clusters(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({CLUSTER})"), F.lit(1))
 
 
+def cluster_spans(c: Column) -> Column:
+    """The clusters as an array of (text, start, end), ends exclusive."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+    add = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.array_append(acc["out"], F.struct(x.alias("text"), acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"))).alias("out"))
+    return F.when(c.isNotNull(), F.aggregate(clusters(c), start, add)["out"])
+
+
 def stack_depth(cluster: Column) -> Column:
     has = lambda chars: cluster.rlike(f"[{chars}]").cast("int")
     return 1 + has(BELOW) + has(ABOVE_VOWELS) + has(TONES + THANTHAKHAT)

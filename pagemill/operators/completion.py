@@ -50,6 +50,11 @@ def _cached(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
+def unknown(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """The rows of ``wanted`` whose key the cache lacks."""
+    return wanted.join(cached.select(key).distinct(), key, "left_anti")
+
+
 def complete(prompts: DataFrame, client: Client, model: str, cache: str, namespace: str = "chat", tasks: int = 8, tries: int = TRIES) -> DataFrame:
     """``prompts`` with (system, user) and a ``reply``: from the cache, or asked now and then cached.
 
@@ -58,8 +63,8 @@ def complete(prompts: DataFrame, client: Client, model: str, cache: str, namespa
     """
     spark = prompts.sparkSession
     keyed = prompts.withColumn("__key", key_of(model, F.col("system"), F.col("user")))
-    known = _cached(spark, cache).where(F.col("namespace") == namespace).select(F.col("key").alias("__key"), "value")
-    new = keyed.where("__key IS NOT NULL").select("__key", "system", "user").dropDuplicates(["__key"]).join(known, "__key", "left_anti")
+    known = _cached(spark, cache).where(F.col("namespace") == namespace).select(F.col("key").alias("__key"))
+    new = unknown(keyed.where("__key IS NOT NULL").select("__key", "system", "user").dropDuplicates(["__key"]), known, "__key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(CONCURRENCY) as pool:

@@ -37,6 +37,44 @@ FACES = [
 ]
 
 
+# Code points of modern Thai, in the order of the script, and those that a face may lack.
+THAI = [*range(0x0E01, 0x0E3B), *range(0x0E3F, 0x0E5C)]
+RARE = (0x0E3A, 0x0E3F, 0x0E45, 0x0E4E, 0x0E4F, 0x0E5A, 0x0E5B)
+#: What a face must have to be used.
+REQUIRED = [c for c in dict.fromkeys(THAI) if c not in RARE]
+
+
+class UnknownFamily(KeyError):
+    def __init__(self, name: str, known: list[str]) -> None:
+        super().__init__(f"no family named {name!r}; there are: {', '.join(known) or 'none'}")
+
+
+def families(faces: DataFrame, category: str | None = None) -> DataFrame:
+    """The families, of one category or of all, in order."""
+    found = faces if category is None else faces.where(F.col("category") == category)
+    return found.select("family").distinct().orderBy("family")
+
+
+def by_category(faces: DataFrame, category: str) -> DataFrame:
+    return faces.where(F.col("category") == category)
+
+
+def named(faces: DataFrame, name: str) -> DataFrame:
+    """The one face of a family (see ``find``); an error that lists all families where there is none."""
+    spark = faces.sparkSession
+    found = find(spark.createDataFrame([(name,)], "name string"), faces).where("family IS NOT NULL")
+    if found.isEmpty():
+        raise UnknownFamily(name, [r.family for r in families(faces).collect()])
+    return found
+
+
+def shaping_face(faces: DataFrame, name: str | None = None) -> DataFrame:
+    """The face that gives a glyph bank its proportions: the named one, or the first handwriting one, or the first."""
+    if name is not None:
+        return named(faces, name).select("family", "category", "weight")
+    return faces.orderBy(F.col("category") != "handwriting", "pos").limit(1).select("family", "category", "weight")
+
+
 def bank(spark: SparkSession) -> DataFrame:
     """(pos, family, category, weight, italic) of the bundled faces."""
     return spark.createDataFrame([(i, *f) for i, f in enumerate(FACES)], "pos long, family string, category string, weight int, italic boolean")
@@ -59,10 +97,23 @@ def summary(faces: DataFrame) -> DataFrame:
     return faces.rollup("category").agg(F.count("*").alias("faces"), F.countDistinct("family").alias("families"))
 
 
+def missing_of(text: Column, glyphs: Column) -> Column:
+    """How many distinct characters of a text are not in the array ``glyphs``; null and empty texts lack none."""
+    return F.size(F.array_except(F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")), glyphs))
+
+
+def inventory(glyphs: DataFrame, most: int = 1 << 17) -> Column:
+    """The distinct ``char`` of ``glyphs`` as a literal array, after a check of their number."""
+    found = [r.char for r in glyphs.select("char").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} characters")
+    return F.array(*[F.lit(c) for c in sorted(found)]).cast("array<string>")
+
+
 def missing(texts: DataFrame, glyphs: DataFrame, *by: str) -> DataFrame:
     """(by, code_points): how many distinct characters of the group's texts have no glyph."""
     chars = texts.select(*by, F.explode(F.split("text", "")).alias("char")).where("char <> ''").distinct()
-    return chars.join(F.broadcast(glyphs.select("char")), "char", "left_anti").groupBy(*by).agg(F.count("*").alias("code_points"))
+    return chars.join(F.broadcast(glyphs.select("char").distinct()), "char", "left_anti").groupBy(*by).agg(F.count("*").alias("code_points"))
 
 
 def coverage(texts: DataFrame, glyphs: DataFrame, *by: str, within: Column | None = None) -> DataFrame:

@@ -1,15 +1,14 @@
-"""Handwriting stitched from a bank of glyph images, drawn into the regions of erased pages.
+"""Handwriting stitched from a bank of glyph images.
 
-A bank has (char, inst, height, width, ink, text_height). Draws depend on seed, page and region only.
-A region whose text is blank, or of which the bank knows under ``LEAST_COVERAGE`` of the characters,
-or whose sides are under three pixels stays without ink: its size is 0, it has no clusters, and it
-counts as fitting. Characters that the bank lacks leave a gap of half a size.
+A bank has (char, inst, height, width, ink, text_height). Characters that the bank lacks are drawn in a
+face, where one is given, and leave a gap of half a size where it has none either.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -25,11 +24,13 @@ from pagemill.sources.images import scan_images
 CLAMP = {"main": (0.62, 1.35), "above": (0.20, 0.55), "below": (0.20, 0.50)}
 GAP, SPREAD, BASELINE, MARK_SHARE, LEAST_COVERAGE = 0.10, (-0.3, 0.4), 2.4, 0.45, 0.5
 CIRCLE = "◌"
-LINE, LARGEST, SMALLEST = 1.6, 48, 8
+LINE, SMALLEST = 1.6, 8
 #: Bytes of a bank that go to every executor.
 MOST_BYTES = 64 << 20
 
 Bank = dict[str, list[tuple[np.ndarray, float]]]
+#: A character's ink at a size, cropped, or None where there is none.
+Fallback = Callable[[str, int], np.ndarray | None]
 
 
 def band_of(ch: str) -> str:
@@ -69,7 +70,7 @@ def coverage(text: str, bank: Bank) -> float:
     return sum(c in bank for c in chars) / len(chars) if chars else 0.0
 
 
-def stitch(text: str, bank: Bank, size: int, g: random.Random) -> tuple[np.ndarray, list[tuple[str, tuple[int, int, int, int]]]]:
+def stitch(text: str, bank: Bank, size: int, g: random.Random, fallback: Fallback | None = None) -> tuple[np.ndarray, list[tuple[str, tuple[int, int, int, int]]]]:
     """A line's ink and the box of each cluster (text, box); white space belongs to the cluster before it."""
     usual = float(np.median([ink.shape[0] for c, many in bank.items() if band_of(c) == "main" for ink, _ in many] or [size]))
     base, pen, placed, groups = round(BASELINE * size), 0.0, [], []
@@ -82,14 +83,17 @@ def stitch(text: str, bank: Bank, size: int, g: random.Random) -> tuple[np.ndarr
         groups.append([cluster, []])
         middle, top, bottom = pen, base - size, base
         for ch in cluster:
-            if ch not in bank:
-                pen += size / 2 if band_of(ch) == "main" else 0
+            band, other = band_of(ch), None
+            if ch not in bank and (fallback is None or (other := fallback(ch, size)) is None):
+                pen += size / 2 if band == "main" else 0
                 continue
-            ink, _ = g.choice(bank[ch])
-            band = band_of(ch)
-            low, high = CLAMP[band]
-            h = max(1, round(size * min(max(ink.shape[0] / usual, low), high)))
-            w = max(1, round(ink.shape[1] * h / ink.shape[0]))
+            if other is not None:
+                ink, (h, w) = other, other.shape
+            else:
+                ink, _ = g.choice(bank[ch])
+                low, high = CLAMP[band]
+                h = max(1, round(size * min(max(ink.shape[0] / usual, low), high)))
+                w = max(1, round(ink.shape[1] * h / ink.shape[0]))
             if band == "main":
                 x, y = round(pen), base - h
                 pen += w + GAP * h * (1 + g.uniform(*SPREAD))
@@ -113,7 +117,7 @@ def stitch(text: str, bank: Bank, size: int, g: random.Random) -> tuple[np.ndarr
     return sheet, [(t, union(b)) for t, b in groups if b]
 
 
-def block(text: str, bank: Bank, width: int, height: int, start: int, g: random.Random) -> tuple[np.ndarray, list, int]:
+def block(text: str, bank: Bank, width: int, height: int, start: int, g: random.Random, fallback: Fallback | None = None) -> tuple[np.ndarray, list, int]:
     """Ink (h, w), clusters and size of a text wrapped into a box: the largest size from ``start`` down
     that fits, or the smallest. Each size is drawn from the same state, so it alone decides the look."""
     state, size = g.getstate(), max(start, SMALLEST)
@@ -121,11 +125,11 @@ def block(text: str, bank: Bank, width: int, height: int, start: int, g: random.
         g.setstate(state)
         rows, line = [], ""
         for word in re.findall(r"\S+\s*|\s+", text.strip()):
-            if line and stitch((line + word).rstrip(), bank, size, random.Random(0))[0].shape[1] > width:
+            if line and stitch((line + word).rstrip(), bank, size, random.Random(0), fallback)[0].shape[1] > width:
                 rows.append(line)
                 line = ""
             line += word
-        drawn = [stitch(r.rstrip(), bank, size, g) for r in [*rows, line]]
+        drawn = [stitch(r.rstrip(), bank, size, g, fallback) for r in [*rows, line]]
         w = max(i.shape[1] for i, _ in drawn)
         tops = [round(k * LINE * size) for k in range(len(drawn))]
         h = max(y + i.shape[0] for y, (i, _) in zip(tops, drawn, strict=True))
@@ -138,43 +142,3 @@ def block(text: str, bank: Bank, width: int, height: int, start: int, g: random.
         np.maximum(part, ink, out=part)
         clusters += [(t, (b[0], b[1] + y, b[2], b[3] + y)) for t, b in own]
     return sheet, clusters, size
-
-
-_BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
-DRAWN = f"region_idx:bigint,size:int,fit:boolean,clusters:array<struct<text:string,box:{_BOX}>>"
-
-
-def drawn(pages: DataFrame, regions: DataFrame, bank: Bank | None, seed: int, padding: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """Images and (page_id, region_idx, size, fit, clusters) of erased ``pages`` (with ``colours``) on
-    which ``shown`` of each region is drawn. Without a bank pages stay erased."""
-    shared = pages.sparkSession.sparkContext.broadcast(bank)
-    item = F.struct("region_idx", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], F.coalesce("shown", F.lit("")).alias("shown"), F.coalesce("ink_height", F.lit(0.0)).alias("ink_height"))
-    rows = pages.join(regions.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("items")), "page_id", "left")
-
-    @F.pandas_udf(f"rgb binary, done array<struct<{DRAWN}>>")
-    def run(page_id: pd.Series, width: pd.Series, height: pd.Series, rgb: pd.Series, items: pd.Series, colours: pd.Series) -> pd.DataFrame:
-        out = [(p, []) if p is None or i is None else one(str(n), P.pixels(w, h, p).copy(), i, c) for n, w, h, p, i, c in zip(page_id, width, height, rgb, items, colours, strict=True)]
-        return pd.DataFrame(out, columns=["rgb", "done"])
-
-    def one(name: str, canvas: np.ndarray, items: list, colours: list) -> tuple:
-        done = []
-        for r, colour in zip(items, colours, strict=True):
-            w, h = r["x2"] - r["x1"], r["y2"] - r["y1"]
-            label = {"region_idx": int(r["region_idx"]), "size": 0, "fit": True, "clusters": []}
-            done.append(label)
-            if shared.value is None or not r["shown"].strip() or w < 3 or h < 3 or coverage(r["shown"], shared.value) < LEAST_COVERAGE:
-                continue
-            inner = [max(4, round(v * (1 - padding))) for v in (w, h)]
-            ink, clusters, size = block(r["shown"], shared.value, *inner, round(r["ink_height"]) or min(LARGEST, inner[1]), random.Random(f"{seed}/{name}/{r['region_idx']}"))
-            slack = h - ink.shape[0]
-            x = r["x1"] + max(0, (w - ink.shape[1]) // 2)
-            y = r["y1"] + (slack // 2 if 0 <= slack <= 12 else max(1, round(h * padding / 2)))
-            rgba = np.empty((*ink.shape, 4), dtype=np.uint8)
-            rgba[..., :3], rgba[..., 3] = [colour[c] for c in "rgb"], ink
-            P.composite(canvas, rgba, x, y)
-            label |= {"size": size, "fit": ink.shape[1] <= w + 1 and ink.shape[0] <= h + 1}
-            label["clusters"] = [{"text": t, "box": {"x1": b[0] + x, "y1": b[1] + y, "x2": b[2] + x, "y2": b[3] + y}} for t, b in clusters]
-        return canvas.tobytes(), done
-
-    made = rows.withColumn("d", run("page_id", "width", "height", "rgb", "items", "colours"))
-    return made.select("page_id", "width", "height", "d.rgb"), made.select("page_id", F.inline("d.done"))

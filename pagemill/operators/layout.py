@@ -6,6 +6,9 @@ integer pixels, right and lower edges exclusive. The order of ``region_idx`` is
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,6 @@ COLUMN_GAP, MIN_SIDE, MAX_SIDE = 30, 3, 2600
 SAME_EDGE, SAME_SPAN, LEAST_GAP, MOST_GAP = 8, 0.6, -3, 0.6
 SMALL_SLACK, UNIT = 12, 1000
 BOX = ("x1", "y1", "x2", "y2")
-REGION = "struct<x1:int,y1:int,x2:int,y2:int,text:string,category:string,ink_height:double,pos:int>"
 
 
 def clip(regions: DataFrame, width: Column, height: Column, min_side: int = MIN_SIDE) -> DataFrame:
@@ -45,85 +47,112 @@ def row_segments(words: DataFrame, *row: str, gap: int = COLUMN_GAP) -> DataFram
     return words.withColumn("__new", new).withColumn("segment", F.sum("__new").over(w).cast("long")).drop("__new")
 
 
-def _arrays(regions: DataFrame) -> DataFrame:
-    item = F.struct(*[F.col(c).cast("int").alias(c) for c in BOX], "text", "category", F.col("ink_height").cast("double").alias("ink_height"), F.col("region_idx").cast("int").alias("pos"))
-    return regions.groupBy("page_id").agg(F.collect_list(item).alias("items"))
-
-
-def _union_of(items: Column) -> Column:
-    """The union of an array of regions, in the array's order."""
-    of = lambda c: F.transform(items, lambda r: r[c])
-    inks = F.filter(of("ink_height"), lambda h: h != 0)
-    return F.struct(
-        F.array_min(of("x1")).alias("x1"), F.array_min(of("y1")).alias("y1"), F.array_max(of("x2")).alias("x2"), F.array_max(of("y2")).alias("y2"),
-        py_strip(F.array_join(of("text"), " ")).alias("text"), F.get(items, F.lit(0))["category"].alias("category"),
-        F.coalesce(F.array_min(inks), F.lit(0.0)).alias("ink_height"), F.get(items, F.lit(0))["pos"].alias("pos"),
-    )
-
-
-def _sorted_by(items: Column, *keys) -> Column:
-    """A stable sort by ``keys`` of each region, then by its position in the array."""
-    keyed = F.transform(items, lambda r, i: F.struct(*[k(r).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i"), r.alias("r")))
-    return F.transform(F.array_sort(keyed), lambda s: s["r"])
+_FIELDS = (*BOX, "text", "category", "ink_height")
+
+
+def _union_of(members: list[tuple]) -> tuple:
+    """The union of regions (x1, y1, x2, y2, text, category, ink_height), in their order."""
+    inks = [m[6] for m in members if m[6]]
+    text = " ".join(m[4] for m in members if m[4] is not None).strip()
+    return min(m[0] for m in members), min(m[1] for m in members), max(m[2] for m in members), max(m[3] for m in members), text, members[0][5], min(inks, default=0.0)
+
+
+def _folded(regions: DataFrame, order: list[Column], fold: Callable[[list[tuple]], Iterable[list[tuple]]]) -> DataFrame:
+    """The unions of the groups that ``fold`` makes of each page's regions, numbered as they come. Pages are
+    read one after the other from a sorted partition, so a task holds the regions of one page."""
+    kind = regions.schema["page_id"].dataType.simpleString()
+    rows = regions.select("page_id", *[F.col(c).cast("int").alias(c) for c in BOX], "text", "category", F.coalesce(F.col("ink_height").cast("double"), F.lit(0.0)).alias("ink_height"), *[c.alias(f"__{k}") for k, c in enumerate(order)], "region_idx")
+    placed = rows.repartition("page_id").sortWithinPartitions("page_id", *[f"__{k}" for k in range(len(order))], "region_idx").select("page_id", *_FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held, done = None, [], []
+
+        def whole() -> pa.RecordBatch:
+            out = [(p, k, *_union_of(g)) for p, items in done for k, g in enumerate(fold(items))]
+            done.clear()
+            cols = zip(*out, strict=True) if out else [[]] * 9
+            types = [schema, pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.float64()]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "region_idx", *_FIELDS])
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema.field("page_id").type
+            for key, *item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and key != page:
+                    done.append((page, held))
+                    held = []
+                page = key
+                held.append(tuple(item))
+            yield whole()
+        if held:
+            done.append((page, held))
+            yield whole()
+
+    return placed.mapInArrow(run, f"page_id {kind}, region_idx long, x1 int, y1 int, x2 int, y2 int, text string, category string, ink_height double")
+
+
+def _rows_of(items: list[tuple], column_gap: int) -> list[list[tuple]]:
+    """Each region with the first row of its category that it overlaps by half of the lower height; rows, in
+    the order in which they began, are split where a gap is wider than ``column_gap``."""
+    lowest, ahead = [0] * len(items), 1 << 62
+    for k in range(len(items) - 1, -1, -1):
+        ahead = lowest[k] = min(ahead, items[k][1])
+    rows: list[list] = []  # [y1, y2, category, members]
+    open_: list[list] = []
+    for item, least in zip(items, lowest, strict=True):
+        while open_ and open_[0][1] < least:  # no region to come reaches up to it
+            open_.pop(0)
+        _, y1, _, y2, _, category, _ = item
+        for row in open_:
+            if row[2] == category and min(row[1], y2) - max(row[0], y1) >= 0.5 * min(y2 - y1, row[1] - row[0]):
+                row[0], row[1] = min(row[0], y1), max(row[1], y2)
+                row[3].append(item)
+                break
+        else:
+            rows.append([y1, y2, category, [item]])
+            open_.append(rows[-1])
+    out = []
+    for *_, members in rows:
+        members.sort(key=lambda m: m[0])
+        begin = 0
+        for k in range(1, len(members) + 1):
+            if k == len(members) or members[k][0] - members[k - 1][2] > column_gap:
+                out.append(members[begin:k])
+                begin = k
+    return out
 
 
 def group_rows(regions: DataFrame, column_gap: int = COLUMN_GAP) -> DataFrame:
-    """Words or fragments joined to lines, a page at a time.
-
-    In order of vertical centre, a region joins the first row of its category that it overlaps by
-    half of the lower height; rows are then split at gaps. First fit depends on what rows have
-    become, so this is a fold over the page's sorted regions.
-    """
-    order = _sorted_by(F.col("items"), lambda r: (r["y1"] + r["y2"]) / 2, lambda r: r["x1"])
-    start = F.array().cast(f"array<struct<y1:int,y2:int,category:string,members:array<{REGION}>>>")
-
-    def place(rows: Column, r: Column) -> Column:
-        fits = F.transform(rows, lambda w: (w["category"] == r["category"]) & (F.least(w["y2"], r["y2"]) - F.greatest(w["y1"], r["y1"]) >= 0.5 * F.least(r["y2"] - r["y1"], w["y2"] - w["y1"])))
-        k = F.array_position(fits, True)
-        grown = F.transform(rows, lambda w, j: F.when(j + 1 == k, F.struct(F.least(w["y1"], r["y1"]).alias("y1"), F.greatest(w["y2"], r["y2"]).alias("y2"), w["category"].alias("category"), F.array_append(w["members"], r).alias("members"))).otherwise(w))
-        return F.when(k > 0, grown).otherwise(F.array_append(rows, F.struct(r["y1"].alias("y1"), r["y2"].alias("y2"), r["category"].alias("category"), F.array(r).alias("members"))))
-
-    def split(row: Column) -> Column:
-        members = _sorted_by(row["members"], lambda r: r["x1"])
-        begin = F.array().cast(f"array<array<{REGION}>>")
-
-        def add(segments: Column, r: Column) -> Column:
-            last = F.element_at(segments, -1)
-            joins = (F.size(segments) > 0) & (r["x1"] - F.element_at(last, -1)["x2"] <= column_gap)
-            return F.when(joins, F.array_append(F.slice(segments, 1, F.size(segments) - 1), F.array_append(last, r))).otherwise(F.array_append(segments, F.array(r)))
-
-        return F.transform(F.aggregate(members, begin, add), _union_of)
-
-    pages = _arrays(regions).select("page_id", F.transform(F.col("items"), lambda r: r).alias("items")).withColumn("items", _sorted_by(F.col("items"), lambda r: r["pos"]))
-    rows = pages.select("page_id", F.aggregate(order, start, place).alias("rows"))
-    return _exploded(rows.select("page_id", F.flatten(F.transform("rows", split)).alias("items")))
+    """Words or fragments joined to lines, a page at a time, in order of vertical centre, then of left edge.
+    First fit depends on what rows have become, so this is a fold over the page's sorted regions."""
+    return _folded(regions, [F.col("y1") + F.col("y2"), F.col("x1")], lambda items: _rows_of(items, column_gap))
+
+
+def _blocks_of(items: list[tuple]) -> list[list[tuple]]:
+    out: list[list[tuple]] = []
+    box, height = (0, 0, 0), 0  # left, right and lower edge of the last block; height of its last line
+    for item in items:
+        x1, y1, x2, y2, _, category, _ = item
+        joins = False
+        if out and out[-1][0][5] == category:
+            left, right, low = box
+            narrow = max(min(x2 - x1, right - left), 1)
+            aligned = abs(x1 - left) <= SAME_EDGE or (min(x2, right) - max(x1, left)) / narrow > SAME_SPAN
+            joins = aligned and LEAST_GAP <= y1 - low <= MOST_GAP * max(y2 - y1, height, 1)
+        if joins:
+            out[-1].append(item)
+            box = min(box[0], x1), max(box[1], x2), max(box[2], y2)
+        else:
+            out.append([item])
+            box = x1, x2, y2
+        height = y2 - y1
+    return out
 
 
 def merge_wrapped(regions: DataFrame) -> DataFrame:
     """Lines of one paragraph joined to a block: each is compared with the last block as it has
     become, and with the height of its last single line."""
-    order = _sorted_by(F.col("items"), lambda r: r["y1"], lambda r: r["x1"])
-    start = F.struct(F.array().cast(f"array<array<{REGION}>>").alias("blocks"), F.lit(0).alias("height"))
-
-    def step(acc: Column, r: Column) -> Column:
-        blocks, h = acc["blocks"], r["y2"] - r["y1"]
-        last = F.element_at(blocks, -1)
-        edge = lambda f, c: f(F.transform(last, lambda m: m[c]))
-        lx1, lx2, ly2 = edge(F.array_min, "x1"), edge(F.array_max, "x2"), edge(F.array_max, "y2")
-        narrow = F.greatest(F.least(r["x2"] - r["x1"], lx2 - lx1), F.lit(1))
-        aligned = (F.abs(r["x1"] - lx1) <= SAME_EDGE) | ((F.least(r["x2"], lx2) - F.greatest(r["x1"], lx1)) / narrow > SAME_SPAN)
-        near = (r["y1"] - ly2 >= LEAST_GAP) & (r["y1"] - ly2 <= MOST_GAP * F.greatest(h, acc["height"], F.lit(1)))
-        joins = (F.size(blocks) > 0) & (F.get(last, F.lit(0))["category"] == r["category"]) & aligned & near
-        grown = F.when(joins, F.array_append(F.slice(blocks, 1, F.size(blocks) - 1), F.array_append(last, r))).otherwise(F.array_append(blocks, F.array(r)))
-        return F.struct(grown.alias("blocks"), h.alias("height"))
-
-    pages = _arrays(regions).withColumn("items", _sorted_by(F.col("items"), lambda r: r["pos"]))
-    return _exploded(pages.select("page_id", F.transform(F.aggregate(order, start, step)["blocks"], _union_of).alias("items")))
-
-
-def _exploded(pages: DataFrame) -> DataFrame:
-    rows = pages.select("page_id", F.posexplode("items").alias("region_idx", "r"))
-    return rows.select("page_id", F.col("region_idx").cast("long").alias("region_idx"), *[F.col(f"r.{c}").alias(c) for c in (*BOX, "text", "category", "ink_height")])
+    return _folded(regions, [F.col("y1"), F.col("x1")], _blocks_of)
 
 
 def normalize(regions: DataFrame) -> DataFrame:
@@ -136,6 +165,19 @@ def downscale(regions: DataFrame, width: Column, height: Column, max_side: int =
     return regions.withColumns({c: F.rint(F.col(c) * scale).cast("int") for c in BOX} | {"ink_height": F.col("ink_height") * scale})
 
 
+def start_size(ink_height: Column, scale: float = 0.95) -> Column:
+    """The size that drawing starts from; null where the ink height is not known."""
+    return F.nullif(F.rint(ink_height * scale).cast("int"), F.lit(0))
+
+
+def zip_strict(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+    """Rows of both sides by position (``on``); a position that one side lacks is an error."""
+    l, r = left.withColumn("__l", F.lit(True)), right.withColumn("__r", F.lit(True))  # noqa: E741
+    both = l.join(r, list(on), "full")
+    even = F.when(F.col("__l").isNull() | F.col("__r").isNull(), F.raise_error(F.concat(F.lit("sides of different lengths: "), F.concat_ws("/", *[F.col(c).cast("string") for c in on]))).cast("boolean")).otherwise(F.lit(True))
+    return both.where(even).drop("__l", "__r")
+
+
 def request_size(side: Column, padding: Column) -> Column:
     return F.greatest(F.lit(4), F.rint(side * (1 - padding)).cast("int"))
 

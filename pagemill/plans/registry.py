@@ -24,7 +24,8 @@ class Registry:
     def _load(self) -> None:
         if not self._plugins and self.group:
             for p in entry_points(group=self.group):
-                self._makers.setdefault(p.name, lambda *a, p=p, **k: p.load()(*a, **k))
+                if p.name not in self._makers:
+                    self._makers[p.name] = p.load()
         self._plugins = True
 
     def create(self, name: str, *args: Any, **options: Any) -> Any:
@@ -33,6 +34,13 @@ class Registry:
             raise UnknownComponent(self.kind, name, self.names())
         return self._makers[name](*args, **options)
 
+    def build(self, name: str, **given: Any) -> Any:
+        """A component made from those of the arguments that its maker takes."""
+        from pagemill.plans.settings import fitting
+
+        self._load()
+        return self.create(name, **(fitting(self._makers[name], given) if name in self._makers else {}))
+
     def names(self) -> list[str]:
         self._load()
         return sorted(self._makers)

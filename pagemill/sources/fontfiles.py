@@ -5,16 +5,18 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.operators.fonts import THAI
+from pagemill.operators.typeface import glyph_map
+
 # Style names by weight; the longest name found decides.
 WEIGHTS = {"thin": 100, "extralight": 200, "ultralight": 200, "light": 300, "regular": 400, "medium": 500, "semibold": 600, "demibold": 600, "bold": 700, "extrabold": 800, "ultrabold": 800, "black": 900, "heavy": 900}
 CATEGORY = "sans"
-#: The script that faces are checked for, and code points of it that a face may lack.
-REQUIRED = [*range(0x0E01, 0x0E3B), *range(0x0E3F, 0x0E5C)]
+#: The code points that faces are checked for.
+REQUIRED = THAI
 _FACE = "face_index int, family string, style string, italic boolean, code_points array<int>"
 
 
@@ -36,32 +38,6 @@ def _names(data: bytes, at: int) -> dict[int, str]:
     return {k: v for k, (_, v) in found.items()}
 
 
-def _code_points(data: bytes, at: int) -> set[int]:
-    """What the Unicode subtables of formats 4 and 12 map to a glyph."""
-    out: set[int] = set()
-    for k in range(struct.unpack_from(">H", data, at + 2)[0]):
-        platform, encoding, offset = struct.unpack_from(">HHI", data, at + 4 + 8 * k)
-        if platform not in (0, 3) or (platform == 3 and encoding not in (1, 10)):
-            continue
-        sub = at + offset
-        kind = struct.unpack_from(">H", data, sub)[0]
-        if kind == 12:
-            for g in range(struct.unpack_from(">I", data, sub + 12)[0]):
-                first, last, glyph = struct.unpack_from(">3I", data, sub + 16 + 12 * g)
-                out.update(range(first + (glyph == 0), last + 1))
-        elif kind == 4:
-            n = struct.unpack_from(">H", data, sub + 6)[0] // 2
-            ends, starts, deltas, jumps = (np.frombuffer(data, ">u2", n, sub + 14 + 2 * n * i + (2 if i else 0)).astype(int).tolist() for i in range(4))
-            for i, (first, last, delta, jump) in enumerate(zip(starts, ends, deltas, jumps, strict=True)):
-                for c in range(first, min(last, 0xFFFE) + 1):
-                    glyph = c
-                    if jump:
-                        glyph = struct.unpack_from(">H", data, sub + 16 + 6 * n + 2 * i + jump + 2 * (c - first))[0]
-                    if (glyph + delta) % 65536 if glyph or not jump else 0:
-                        out.add(c)
-    return out
-
-
 def faces(data: bytes) -> list[dict]:
     """The faces of a file; none if it is no font or is broken."""
     try:
@@ -77,7 +53,7 @@ def faces(data: bytes) -> list[dict]:
             names = _names(data, at[b"name"])
             style = _name(names, 17, 2)
             slanted = bool(b"OS/2" in at and struct.unpack_from(">H", data, at[b"OS/2"] + 62)[0] & 1)
-            out.append({"face_index": k, "family": _name(names, 16, 1), "style": style, "italic": slanted or "italic" in style.lower() or "oblique" in style.lower(), "code_points": sorted(_code_points(data, at[b"cmap"]))})
+            out.append({"face_index": k, "family": _name(names, 16, 1), "style": style, "italic": slanted or "italic" in style.lower() or "oblique" in style.lower(), "code_points": sorted(glyph_map(data, at[b"cmap"]))})
         return out
     except (struct.error, KeyError, ValueError):
         return []
@@ -111,6 +87,16 @@ def scan_fonts(spark: SparkSession, root: str, license_note: str = "", required:
     return rows.select("path", "face_index", "family", category.alias("category"), weight_of(F.col("style"), stem).alias("weight"), "italic", F.lit(license_note).alias("license"), F.array_except(wanted, "code_points").alias("missing"))
 
 
+def font_files(spark: SparkSession, root: str, most_bytes: int = 64 << 20) -> dict[str, bytes]:
+    """The font files under ``root`` by path below it, after a check of their size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ttf,otf,ttc,TTF,OTF,TTC}").load(root)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"font files of {size} bytes; at most {most_bytes} are loaded")
+    base = root.split("://", 1)[-1].split(":", 1)[-1].rstrip("/") + "/"
+    return {r.path.split(base, 1)[-1]: bytes(r.content) for r in files.select("path", "content").orderBy("path").collect()}
+
+
 def write_manifest(found: DataFrame, path: str) -> None:
     found.write.mode("overwrite").json(path)
 

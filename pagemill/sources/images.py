@@ -35,12 +35,16 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(path.alias("path"), "width", "height", rgb("data", "nChannels", "width", "height").alias("rgb"))
 
 
-def page_images(pages: DataFrame, images: DataFrame, root: str) -> DataFrame:
+def page_images(pages: DataFrame, images: DataFrame, root: str, strict: bool = True) -> DataFrame:
     """(page_id, width, height, rgb): the image that each page names, relative to ``root``. A page
-    without such an image raises an error, since its regions would have nothing to stand on."""
+    without such an image raises an error, since its regions would have nothing to stand on; if not
+    ``strict``, it has no pixels, and a column ``error`` says why."""
     tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"^file:/+", "/"), r"/(\./)+|//+", "/")
     wanted = F.when(F.col("image").startswith("/"), F.col("image")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col("image")))
     found = pages.select("page_id", "image", tidy(wanted).alias("path")).join(images.withColumn("path", tidy(F.col("path"))), "path", "left")
+    if not strict:
+        lacks = F.when(F.col("rgb").isNull(), F.concat(F.lit("no image: "), F.coalesce("image", F.lit("null"))))
+        return found.select("page_id", "width", "height", "rgb", lacks.alias("error"))
     there = F.when(F.col("rgb").isNull(), F.raise_error(F.concat(F.lit("no image: "), F.coalesce("image", F.lit("null"))))).otherwise(F.col("rgb"))
     return found.select("page_id", "width", "height", there.cast("binary").alias("rgb"))
 
@@ -73,9 +77,13 @@ def write_images(images: DataFrame, path: str) -> DataFrame:
     """A PNG file named by its page under ``path`` for each image, and the (page_id, file) written.
     Of several images of one page that of the greatest bytes stays. Characters that a file name cannot
     hold are written as %XX."""
-    files = with_png(images.where("rgb IS NOT NULL")).groupBy("page_id").agg(F.max("png").alias("data"))
+    there = images.where("rgb IS NOT NULL")
+    if there.groupBy("page_id").count().where("count > 1").isEmpty():  # no image leaves its task
+        files = with_png(there).withColumnRenamed("png", "data")
+    else:
+        files = with_png(there).groupBy("page_id").agg(F.max("png").alias("data"))
     name = F.concat(F.replace(F.url_encode(F.col("page_id").cast("string")), F.lit("+"), F.lit("%20")), F.lit(".png"))
-    return put(files.select(F.col("page_id"), name.alias("file"), "data"), path)
+    return put(files.select("page_id", name.alias("file"), "data"), path)
 
 
 def _outlined(page: np.ndarray, box: dict, colour: tuple, wide: int) -> None:
