@@ -12,7 +12,7 @@ By default the budget is as many tokens as make the source that is drawn least a
 that no row is lost. Running sums are taken over hash ranges of a source's rows: totals of ranges
 first, then within a range, so that a source of any size is spread over many tasks. A row is told apart by
 its place in the stored files, which is part of the hash, so repeated rows and rows without id are
-spread like all others.
+spread like all others; a stored table always gives the same draws, written anew it may give others.
 
 The sources' totals come to the driver, where weights are bisected, and their plan goes to all executors:
 at most ``MOST_SOURCES`` of them; more raise an error before anything is collected.
