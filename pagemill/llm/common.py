@@ -202,6 +202,23 @@ def tree_parents(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start, size) + np.maximum(place - 1, 0) // 2
 
 
+def least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the least node of each set of nodes that edges connect to its others: as many as they need."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            some = label != np.arange(len(nodes))
+            return nodes[label[some]], nodes[some]
+        label = new
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = SLICE) -> DataFrame:
     """``f`` over slices of ``rows`` rows of Arrow batches, without shuffles: what a worker holds beside
     the batch, its texts as Python strings and the results, is that of a slice."""

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ROW, cut, discard, heavy_join, map_batches, mix, partitions, shingle_hashes, tree_parents, with_rows
+from pagemill.llm.common import ROW, cut, discard, heavy_join, least_members, map_batches, mix, partitions, shingle_hashes, tree_parents, with_rows
 from pagemill.llm.components import components
 
 #: Similarity, words of a shingle, signature values, bands, tolerance, values compared at a time.
@@ -160,23 +160,6 @@ def _batch(cols: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c) for c in cols], names=[x.split()[0] for x in BUCKETS.split(", ")])
 
 
-def least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from the least node of each set of nodes that edges connect to its others: as many as they need."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            some = label != np.arange(len(nodes))
-            return nodes[label[some]], nodes[some]
-        label = new
-
-
 def _band_hashes(sig: np.ndarray) -> np.ndarray:
     """(rows, BANDS) hashes of each band of the signatures."""
     rows = VALUES // BANDS

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import common, fingerprints, htmlblocks, jaccard, jpeg, langid, mixing, passages, secrets, toxicity
+from pagemill.llm import common, components, fingerprints, htmlblocks, jaccard, jpeg, langid, mixing, passages, secrets, toxicity
 from pagemill.llm.common import fold, shingle_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +58,20 @@ def test_least_members():
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 3), (5, 7), (5, 9)]
 
 
+def test_components_join_few_times_the_links(spark, monkeypatch):
+    """A chain, trees over one group by many tasks, and pairs: rounds join what is left, not all links again."""
+    rng = random.Random(17)
+    names = rng.sample(range(10_000), 700)
+    chain, group = names[:300], names[300:400]
+    links = list(zip(chain, chain[1:])) + [(x, y) for _ in range(6) for x, y in zip(group, rng.sample(group, 100)) if x != y] + list(zip(names[400::2], names[401::2]))
+    joined, heavy_join = [], components.heavy_join
+    monkeypatch.setattr(components, "heavy_join", lambda rows, *rest: joined.append(rows.count()) or heavy_join(rows, *rest))
+    monkeypatch.setattr(components, "LAST", 8, raising=False)
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: min(s) for s in (chain, group, *zip(names[400::2], names[401::2])) for x in s}
+    assert sum(joined) <= 8 * len(links), (sum(joined), len(links))
+
+
 def test_drawn_follows_the_mixture(spark, tmp_path):
     rng = random.Random(8)
     rows = [(i % 40 if i % 7 else None, " ".join(words(rng, rng.randint(1, 30))), "big" if i < 90 else f"s{i % 3}", i) for i in range(120)]
