@@ -26,7 +26,9 @@ many members there are. And what surrounds the centre is compared with several l
 first leader whose surroundings share a passage with its own, and leads itself where none does, so that near
 copies find each other beside texts that have a part of the passage. Groups of more than ``MEET``
 members are dealt by min-hashes of what lies before, around and after the centre to smaller ones,
-``DEALINGS`` times each; members that agree nowhere do not meet, all else is compared.
+``DEALINGS`` times each. Those that find no leader there, and whose surroundings hold enough that another one
+of the group holds, are compared with each other after that, in blocks that meet two by two, so no member of a
+group of any size is left out.
 
 A row is told apart by its id, or, where that is null or occurs again, by its place in the stored files.
 All places of a key in a text are filed, so a second copy of a passage is found too; places closer to
@@ -303,24 +305,69 @@ def _meeting(least: int, threshold: float):
     return run
 
 
-def met(sequences: DataFrame, rest: DataFrame, least: int, threshold: float) -> DataFrame:
+def with_partners(members: DataFrame, least: int, threshold: float) -> DataFrame:
+    """The ``members`` (signature, node, centre, around) that may be like another of their signature: those with
+    enough shingles, spread over ``least`` or more places, that another one has. No others are like any."""
+
+    def elements(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols: list[list[np.ndarray]] = []
+        for signature, node, centre, around in zip(*(batch.column(c).to_pylist() for c in ("signature", "node", "centre", "around")), strict=True):
+            x = np.frombuffer(around, dtype="<u4")
+            values, first, n = np.unique(x, return_index=True, return_counts=True)
+            last = len(x) - 1 - np.unique(x[::-1], return_index=True)[1]
+            cols.append([np.full(len(values), v, dtype=np.int64) for v in (signature, node, centre)] + [v.astype(np.int64) for v in (values, first, last, n)])
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["signature", "node", "centre", "element", "first", "last", "n"])
+
+    found = cut(map_batches(members, elements, "signature long, node long, centre long, element long, first long, last long, n long"), "elements")
+    by = ["signature", "element"]
+    shared = cut(found.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    total = shared.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    key = ["signature", "node", "centre"]
+    may = heavy_join(found, shared, by, "m", total).groupBy(*key).agg(F.sum("n").alias("n"), (F.max("last") - F.min("first") + 1).alias("span"))
+    out = cut(members.join(may.where((F.col("n") >= math.ceil(threshold * least)) & (F.col("span") >= least)).select(*key).hint("shuffle_merge"), key), "left")
+    discard(found, shared)
+    return out
+
+
+def met(sequences: DataFrame, rest: DataFrame, least: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of ``rest`` (signature, node, centre, k) that share a passage around the centre: each member with
-    its first leader. ``k`` is about how many members the signature has."""
+    its first leader; and the tables that they are read from. ``k`` is about how many members the signature has.
+
+    Min-hashes deal a large signature's members first. Those that find no leader so, the leaders
+    among them, are compared with each other after that, all with all: block by block, if they are many."""
+    key = ["signature", "node", "centre"]
+
+    def compared(rows: DataFrame) -> DataFrame:
+        placed = rows.repartition(partitions(rest.sparkSession), "chunk").sortWithinPartitions("chunk", "node", "centre")
+        return placed.mapInArrow(_meeting(least, threshold), MET)
+
+    def surrounded(rows: DataFrame) -> DataFrame:
+        return rows.join(contexts(sequences, rows.select("node", "centre").distinct(), False).hint("shuffle_merge"), ["node", "centre"])
+
+    small = rest.where(F.col("k") <= MEET).select(*key, F.xxhash64("signature").alias("chunk"))
     large = rest.where(F.col("k") > MEET)
-    dealt = large.join(contexts(sequences, large, True).hint("shuffle_merge"), ["node", "centre"]).select("signature", "node", "centre", F.posexplode("keys").alias("turn", "part"))
+    if large.isEmpty():
+        return compared(surrounded(small)), []
+    dealt = large.join(contexts(sequences, large, True).hint("shuffle_merge"), ["node", "centre"]).select(*key, F.posexplode("keys").alias("turn", "part"))
     dealt = cut(dealt, "dealt")
     # a part that is still large is that of texts which agree around the centre; it is dealt on by node
-    parts = dealt.groupBy("signature", "turn", "part").agg(F.count("*").alias("m"))
-    parts = cut(parts.where(F.col("m") > MEET), "parts")
-    total = parts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     by = ["signature", "turn", "part"]
+    parts = cut(dealt.groupBy(*by).agg(F.count("*").alias("m")).where(F.col("m") > MEET), "parts")
+    total = parts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     split = heavy_join(dealt, parts, by, "m", total).withColumn("on", F.pmod(F.xxhash64("node", "turn"), F.ceil(F.col("m") / MEET))).drop("m")
     plain = dealt.join(parts.select(*by), by, "left_anti").withColumn("on", F.lit(0).cast("long"))
-    small = rest.where(F.col("k") <= MEET).select("signature", "node", "centre", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("on"))
-    rows = small.unionByName(split).unionByName(plain).select("signature", "node", "centre", F.xxhash64(*by, "on").alias("chunk"))
-    rows = rows.join(contexts(sequences, rest, False).hint("shuffle_merge"), ["node", "centre"])
-    placed = rows.repartition(partitions(rest.sparkSession), "chunk").sortWithinPartitions("chunk", "node", "centre")
-    return placed.mapInArrow(_meeting(least, threshold), MET)
+    rows = split.unionByName(plain).select(*key, F.xxhash64(*by, "on").alias("chunk"))
+    found = cut(compared(surrounded(small.unionByName(rows))), "met")
+    # a leader comes before its members in every chunk, so who leads the others of a chain has no leader
+    led_ones = found.select("signature", F.col("b").alias("node"), "centre").distinct()
+    left = with_partners(surrounded(large.select(*key).join(led_ones.hint("shuffle_merge"), key, "left_anti")), least, threshold)
+    sizes = cut(left.groupBy("signature").agg(F.count("*").alias("m")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    number = F.when(F.col("m") <= MEET, 1).otherwise(F.ceil(F.col("m") / (MEET // 2)))
+    blocks = heavy_join(left, sizes, ["signature"], "m", total).withColumn("number", number.cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "centre"), "number").cast("int"))
+    pairs = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("number") - 1))).where("number = 1 OR with <> block")
+    last = compared(pairs.select(*key, "around", F.xxhash64("signature", F.least("block", "with"), F.greatest("block", "with")).alias("chunk")))
+    return found.unionByName(last), [dealt, parts, found, left, sizes]
 
 
 LINKED = "signature long, a long, b long, shift long, a0 long, a1 long, b0 long, b1 long, slots long, centre_a long, centre long"
@@ -458,10 +505,11 @@ def repeated(docs: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS
     again = linked(filed_again(sequences, rest.select("node", "centre").distinct(), width, least_words)).where("a <> b")
     within = (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("b0") >= F.col("first_word")) & (F.col("b1") - 1 <= F.col("last_shingle"))
     again = again.join(known.hint("shuffle_merge"), within, "left_anti")
-    again = cut(again.unionByName(met(sequences, rest, least, threshold).join(known.hint("shuffle_merge"), same, "left_anti")), "members")
+    meeting, tables = met(sequences, rest, least, threshold)
+    again = cut(again.unionByName(meeting.join(known.hint("shuffle_merge"), same, "left_anti")), "members")
     more_links = linked_intervals(again, least, 1, threshold)
     more = cut(verified(sequences, more_links, width, least, threshold), "found")
-    discard(pairs, marked, links, sequences, several, rest, again, more_links)
+    discard(pairs, marked, links, sequences, several, rest, again, more_links, *tables)
     out = found.unionByName(more).distinct()
     if other.isEmpty():
         return out

@@ -111,6 +111,24 @@ def test_near_passages_beside_lesser_ids(spark):
     assert len(found & wanted) >= 0.95 * len(wanted) and found <= wanted
 
 
+def test_members_of_large_groups_all_meet(spark, monkeypatch):
+    """Whatever the size from which groups are dealt, near passages beside lesser ids that hold parts are found."""
+    rng = random.Random(29)
+    rows, wanted = [], set()
+    for k in range(50):
+        own, i, at = words(rng, 60), 20 * k, rng.randrange(60)
+        new = own[:at] + words(rng, 1) + own[at + 1 :]
+        rows += [(i + j, " ".join(words(rng, 30) + own[2 * j : 2 * j + 45] + words(rng, 60))) for j in range(8)]
+        rows += [(i + 8, " ".join(words(rng, 30) + own + words(rng, 40))), (i + 9, " ".join(words(rng, 50) + new + words(rng, 20)))]
+        wanted.add((i + 8, i + 9))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {}
+    for meet in (512, 2):
+        monkeypatch.setattr(passages, "MEET", meet)
+        found[meet] = {(r.other_doc_id, r.doc_id) for r in passages.repeated(df).collect()}
+    assert len(found[512] & wanted) >= 0.95 * len(wanted) and found[2] & wanted >= found[512] & wanted
+
+
 def test_passages_of_rows_and_places(spark):
     """A second copy in one text, rows of one id, rows without id, and a passage beyond 65,535 shingles."""
     rng = random.Random(4)
