@@ -30,6 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _local: dict[str, str] = {}
+#: Spark deletes the shuffle files of a query at its end, not when the driver's memory is collected some day.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,7 +61,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lineage ends there. ``discard``
     deletes what nothing reads any more; what a result reads stays in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANED, "false")
+    conf.set(CLEANED, "true")  # for this write alone: nothing reads its shuffles again
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANED, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -66,6 +66,9 @@ _SIDE = 16
 _SIDES = (1 << _SIDE) - 1
 #: Slots of signatures that are a centre's shingle alone.
 ALONE = sum(1 << k for k in range(2, 16, 3))
+#: Bytes of a shingle's hash that are stored for verification. Two texts of a million shingles each have one in common
+#: by chance in one of 280 cases, and a passage takes dozens.
+KEPT = 6
 #: What a reach of ``_SIDES`` or more stands for: more shingles than a text has.
 _FAR = 1 << 26
 
@@ -189,6 +192,18 @@ def filed(docs: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS, f
     return docs.select("node", "text").mapInArrow(_filing(own), FILED)
 
 
+def stored(h: np.ndarray) -> bytes:
+    """The first ``KEPT`` bytes of each hash."""
+    return np.ascontiguousarray(h.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
+def read(s: bytes) -> np.ndarray:
+    """The numbers that ``stored`` bytes are."""
+    out = np.zeros((len(s) // KEPT, 8), dtype=np.uint8)
+    out[:, 8 - KEPT :] = np.frombuffer(s, dtype=np.uint8).reshape(-1, KEPT)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _centred(sequences: DataFrame, rest: DataFrame) -> DataFrame:
     """(node, s, centres) of the texts of ``rest`` (node, centre)."""
     centres = rest.groupBy("node").agg(F.collect_set("centre").alias("centres"))  # at most a text's windows
@@ -199,35 +214,33 @@ def filed_again(sequences: DataFrame, rest: DataFrame, width: int = WIDTH, least
     """The whole passages around the centres of ``rest`` (node, centre), under their hashes."""
 
     def own(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-        h = np.frombuffer(batch.column("s")[i].as_py(), dtype=np.uint64)
+        h = read(batch.column("s")[i].as_py())
         return whole_passages(h, np.array(batch.column("centres")[i].as_py(), dtype=np.int64), least_words - width + 1)
 
     return _centred(sequences, rest).mapInArrow(_filing(own), FILED)
 
 
-def contexts(sequences: DataFrame, rest: DataFrame, dealt: bool) -> DataFrame:
-    """(node, centre, around): the shingles on either side of each centre of ``rest``, in 32 bits; or if
-    ``dealt`` (node, centre, keys): the min-hashes by which a large group deals them."""
+def contexts(sequences: DataFrame, rest: DataFrame) -> DataFrame:
+    """(node, centre, around, keys): the shingles on either side of each centre of ``rest`` (node, centre), in
+    32 bits, and the min-hashes by which a large group deals them."""
     seeds = np.array([(7 * d + 3) * 0x9FB21C651E98DF25 % (1 << 64) for d in range(DEALINGS)], dtype=np.uint64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, centre, out = [], [], []
+        node, centre, around, keys = [], [], [], []
         for n, s, at in zip(*(batch.column(c).to_pylist() for c in ("node", "s", "centres")), strict=True):
-            h = np.frombuffer(s, dtype=np.uint64)
+            h = read(s)
+            short = (h >> np.uint64(8 * KEPT - 32)).astype("<u4")
+            mixed = mix(h[None, :] ^ seeds[:, None])
             node += [n] * len(at)
             centre += at
-            if not dealt:
-                h = (h >> np.uint64(32)).astype("<u4")
-                out += [h[max(0, c - AROUND) : c + AROUND + 1].tobytes() for c in at]
-                continue
-            mixed = mix(h[None, :] ^ seeds[:, None])
             for c in at:
+                around.append(short[max(0, c - AROUND) : c + AROUND + 1].tobytes())
                 parts = (max(0, c - AROUND), c + 1), (max(0, c - AROUND // 2), c + AROUND // 2 + 1), (c, c + AROUND + 1)
-                out.append([int(x) for i, j in parts for x in mixed[:, i:j].min(axis=1).view(np.int64)])
-        last = pa.array(out, pa.list_(pa.int64()) if dealt else pa.binary())
-        return pa.record_batch([pa.array(node, pa.int64()), pa.array(centre, pa.int64()), last], names=["node", "centre", "keys" if dealt else "around"])
+                keys.append([int(x) for i, j in parts for x in mixed[:, i:j].min(axis=1).view(np.int64)])
+        cols = (node, pa.int64()), (centre, pa.int64()), (around, pa.binary()), (keys, pa.list_(pa.int64()))
+        return pa.record_batch([pa.array(*c) for c in cols], names=["node", "centre", "around", "keys"])
 
-    return map_batches(_centred(sequences, rest), run, f"node long, centre long, {'keys array<long>' if dealt else 'around binary'}", 64)
+    return map_batches(_centred(sequences, rest), run, "node long, centre long, around binary, keys array<long>", 64)
 
 
 def _spread(hits: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,14 +354,16 @@ def met(sequences: DataFrame, rest: DataFrame, least: int, threshold: float) ->
         placed = rows.repartition(partitions(rest.sparkSession), "chunk").sortWithinPartitions("chunk", "node", "centre")
         return placed.mapInArrow(_meeting(least, threshold), MET)
 
+    around = cut(contexts(sequences, rest), "around")
+
     def surrounded(rows: DataFrame) -> DataFrame:
-        return rows.join(contexts(sequences, rows.select("node", "centre").distinct(), False).hint("shuffle_merge"), ["node", "centre"])
+        return rows.join(around.drop("keys").hint("shuffle_merge"), ["node", "centre"])
 
     small = rest.where(F.col("k") <= MEET).select(*key, F.xxhash64("signature").alias("chunk"))
     large = rest.where(F.col("k") > MEET)
     if large.isEmpty():
-        return compared(surrounded(small)), []
-    dealt = large.join(contexts(sequences, large, True).hint("shuffle_merge"), ["node", "centre"]).select(*key, F.posexplode("keys").alias("turn", "part"))
+        return compared(surrounded(small)), [around]
+    dealt = large.join(around.drop("around").hint("shuffle_merge"), ["node", "centre"]).select(*key, F.posexplode("keys").alias("turn", "part"))
     dealt = cut(dealt, "dealt")
     # a part that is still large is that of texts which agree around the centre; it is dealt on by node
     by = ["signature", "turn", "part"]
@@ -360,6 +375,7 @@ def met(sequences: DataFrame, rest: DataFrame, least: int, threshold: float) ->
     found = cut(compared(surrounded(small.unionByName(rows))), "met")
     # a leader comes before its members in every chunk, so who leads the others of a chain has no leader
     led_ones = found.select("signature", F.col("b").alias("node"), "centre").distinct()
+    discard(dealt, parts)
     left = with_partners(surrounded(large.select(*key).join(led_ones.hint("shuffle_merge"), key, "left_anti")), least, threshold)
     sizes = cut(left.groupBy("signature").agg(F.count("*").alias("m")), "sizes")
     total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
@@ -367,7 +383,7 @@ def met(sequences: DataFrame, rest: DataFrame, least: int, threshold: float) ->
     blocks = heavy_join(left, sizes, ["signature"], "m", total).withColumn("number", number.cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "centre"), "number").cast("int"))
     pairs = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("number") - 1))).where("number = 1 OR with <> block")
     last = compared(pairs.select(*key, "around", F.xxhash64("signature", F.least("block", "with"), F.greatest("block", "with")).alias("chunk")))
-    return found.unionByName(last), [dealt, parts, found, left, sizes]
+    return found.unionByName(last), [around, found, left, sizes]
 
 
 LINKED = "signature long, a long, b long, shift long, a0 long, a1 long, b0 long, b1 long, slots long, centre_a long, centre long"
@@ -470,7 +486,7 @@ def sequences_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, s): the shingles of the texts of ``nodes``, in order."""
 
     def sequence(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("node"), pa.array([shingle_hashes(t or "", width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "s"])
+        return pa.record_batch([batch.column("node"), pa.array([stored(shingle_hashes(t or "", width)) for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "s"])
 
     return map_batches(texts.join(nodes.hint("shuffle_merge"), "node", "left_semi"), sequence, "node long, s binary")  # one plan at every size
 
@@ -502,6 +518,7 @@ def repeated(docs: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS
     members = marked.where("NOT covered").select("signature", sides).select("signature", "m.*")
     members = members.unionByName(alone.where("a = b").select("signature", F.col("b").alias("node"), "centre")).distinct()
     rest = cut(heavy_join(members, several, ["signature"], "k", total), "rest")
+    discard(pairs, marked, several, links)
     again = linked(filed_again(sequences, rest.select("node", "centre").distinct(), width, least_words)).where("a <> b")
     within = (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("b0") >= F.col("first_word")) & (F.col("b1") - 1 <= F.col("last_shingle"))
     again = again.join(known.hint("shuffle_merge"), within, "left_anti")
@@ -509,7 +526,7 @@ def repeated(docs: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS
     again = cut(again.unionByName(meeting.join(known.hint("shuffle_merge"), same, "left_anti")), "members")
     more_links = linked_intervals(again, least, 1, threshold)
     more = cut(verified(sequences, more_links, width, least, threshold), "found")
-    discard(pairs, marked, links, sequences, several, rest, again, more_links, *tables)
+    discard(sequences, rest, again, more_links, *tables)
     out = found.unionByName(more).distinct()
     if other.isEmpty():
         return out
@@ -530,14 +547,14 @@ def linked_intervals(pairs: DataFrame, least: int, enough: int, threshold: float
 
 def verified(sequences: DataFrame, links: DataFrame, width: int, least: int, threshold: float) -> DataFrame:
     """The rows of ``repeated`` that are found within the intervals of ``links``."""
-    part = lambda s, x: F.substring(s, F.col(f"{x}0") * 8 + 1, (F.col(f"{x}1") - F.col(f"{x}0")) * 8)
+    part = lambda s, x: F.substring(s, F.col(f"{x}0") * KEPT + 1, (F.col(f"{x}1") - F.col(f"{x}0")) * KEPT)
     left, right = (sequences.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     both = links.join(left, "a").withColumn("s_a", part(F.col("s_a"), "a")).join(right, "b").select("a", "b", "a0", "b0", "s_a", part(F.col("s_b"), "b").alias("s_b"))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for a, b, a0, b0, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a0", "b0", "s_a", "s_b")), strict=True):
-            for y0, y1, x0, x1, s in matching(np.frombuffer(y, dtype=np.uint64), np.frombuffer(x, dtype=np.uint64), least, threshold):
+            for y0, y1, x0, x1, s in matching(read(y), read(x), least, threshold):
                 rows.append((b, b0 + y0, b0 + y1 + width - 2, a, a0 + x0, a0 + x1 + width - 2, s))
         cols = list(zip(*rows, strict=True)) or [[]] * 7
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())

@@ -1,7 +1,9 @@
 """Repeated and missing ids, long and hot inputs, and figures of the corpus operators."""
 
 import math
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -264,6 +266,24 @@ def test_repeated_labels(spark):
     assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
 
 
+def test_a_written_table_leaves_no_shuffle(spark):
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before, said = held(), spark.conf.get(common.CLEANED)
+    out = common.cut(spark.range(1000).repartition(3, "id"), "t")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert out.count() == 1000 and spark.conf.get(common.CLEANED) == said
+
+
+def test_stored_hashes():
+    h = np.array([0, 1 << 16, (1 << 64) - 1, 0x0123456789ABCDEF], dtype=np.uint64)
+    assert passages.read(passages.stored(h)).tolist() == [x >> 16 for x in h.tolist()] and not len(passages.read(passages.stored(h[:0])))
+
+
 def test_no_shared_folder_on_a_cluster():
     class Context:
         master, applicationId = "spark://host:7077", "x"
