@@ -34,7 +34,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     round's tables are written to the shared folder, so that a lost executor costs one round at most, and
     deleted when nothing reads them any more. Nodes of many links, such as the least one of a large group, are
     joined by broadcast, and hashes are taken before they are shuffled, so the links of a node are never in one task
-    unless they are that few.
+    unless they are that few. The result is a written table: callers read it several times, and a lazy one would
+    be planned and joined again in each place.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
     edges = cut(links.where("a <> b").select(least.alias("a"), most.alias("b")).distinct(), "edges")
@@ -59,6 +60,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     discard(edges)
+    if n and len(steps) == 1:  # one task has seen all links, and points at the least nodes
+        out = steps[0].withColumnRenamed("up", "label")
+        out._cut_path = steps[0]._cut_path
+        return out
     roots = None
     for up in reversed(steps):
         on = up.groupBy(F.col("up").alias("node")).agg(F.count("*").alias("n"))  # a node of the next round, or one that is done
@@ -68,4 +73,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         discard(*filter(None, (roots, on, up)))
         roots = found
     names = cut(roots.groupBy("root").agg(F.min("node").alias("label"), F.count("*").alias("n")), "labels")
-    return heavy_join(roots, names, ["root"], "n", roots.count()).select("node", "label")
+    out = cut(heavy_join(roots, names, ["root"], "n", roots.count()).select("node", "label"), "components")
+    discard(roots, names)
+    return out

@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import ROW, cut, discard, heavy_join, least_members, map_batches, mix, partitions, shingle_hashes, tree_parents, with_rows
@@ -420,7 +420,7 @@ def similar_pairs(keyed: DataFrame, classes: DataFrame, threshold: float = THRES
 
     found = cut(map_batches(kept.join(left, "a").join(right, "b"), verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b"), "links")
     inside = cut(blocks(hot, classes, sets).groupBy("label", "i", "j").applyInArrow(_two_blocks(least, threshold), "a long, b long, n long"), "inside")
-    discard(proposed, kept, sets)
+    discard(proposed, kept, sets, hot)
     ends = found.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n")).union(inside.where("n > 0").select("a", "n"))
     return found.union(inside.where("n = 0").select("a", "b")), ends.groupBy("node").agg(F.sum("n").alias("n_links"))
 
@@ -437,8 +437,10 @@ def blocks(hot: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(classes.select("node", "sig"), "node").join(sets, "node")
 
 
-def _joined(docs: DataFrame, threshold: float, tolerance: float, width: int) -> tuple[DataFrame, DataFrame]:
-    """The stored docs, and (row key, doc_id, label, class_id, copy_of, n_copies, n_links) of each row."""
+def _labelled(docs: DataFrame, threshold: float, tolerance: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame, Row]:
+    """The stored docs; (row key, doc_id, h1, h2) of each row; (h1, h2, copy_of, n_copies, label, n_links) of each
+    class; and the numbers of classes and rows. The classes are a written table: they are read in several places of
+    a plan, and a driver that plans all that leads to them in each holds hundreds of exchanges and broadcasts."""
     stored, keyed = with_rows(docs, "doc_id", "text")
     rows = cut(signatures(keyed, width), "signatures")
     one = F.min(F.struct(*ROW)).alias("row")
@@ -446,14 +448,24 @@ def _joined(docs: DataFrame, threshold: float, tolerance: float, width: int) ->
     classes = cut(merged.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "copy_of", "row.*", "sig", "n_copies"), "classes")
     total = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n_copies"), F.lit(0)).alias("rows")).first()
     links, ends = similar_pairs(keyed, classes.where("h1 <> 0 OR h2 <> 0"), threshold, tolerance, width)
-    found = components(links).join(ends, "node")
+    labels = components(links)
+    found = labels.join(ends, "node")
     known = classes.select("node", "h1", "h2", "copy_of", "n_copies").join(found, "node", "left").withColumns({"label": F.coalesce("label", "node"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
-    groups = known.groupBy("label").agg(F.min("copy_of").alias("lead"), F.min("h1").alias("h"), F.count("*").alias("n"))
+    known = cut(known.drop("node"), "known")
+    discard(classes, labels)
+    return stored, rows.select(*ROW, "doc_id", "h1", "h2"), known, total
+
+
+def _named(known: DataFrame, classes: int) -> DataFrame:
+    """``known`` with the ``class_id`` of each class's label."""
+    groups = cut(known.groupBy("label").agg(F.min("copy_of").alias("lead"), F.min("h1").alias("h"), F.count("*").alias("n")), "groups")
     shared = groups.where("lead IS NOT NULL").groupBy(F.col("lead").alias("id")).agg(F.count("*").alias("k")).where("k > 1")
     made = F.lit(-(1 << 62)) - F.col("h").bitwiseAND(F.lit((1 << 62) - 1))
-    named = groups.join(shared, F.col("lead") == F.col("id"), "left").select("label", F.when(F.col("lead").isNull() | F.col("id").isNotNull(), made).otherwise(F.col("lead")).alias("class_id"), "n")
-    known = heavy_join(known.drop("node"), named, ["label"], "n", total.classes).drop("n")
-    return stored, heavy_join(rows.select(*ROW, "doc_id", "h1", "h2"), known, ["h1", "h2"], "n_copies", total.rows)
+    names = groups.join(shared, F.col("lead") == F.col("id"), "left").select("label", F.when(F.col("lead").isNull() | F.col("id").isNotNull(), made).otherwise(F.col("lead")).alias("class_id"), "n")
+    names = cut(names, "names")
+    out = cut(heavy_join(known, names, ["label"], "n", classes).drop("n"), "named")
+    discard(known, groups, names)
+    return out
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH) -> DataFrame:
@@ -463,17 +475,20 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     ``copy_of`` is the least id with the same shingles, of which there are ``n_copies``, and
     ``n_links`` the number of verified links from those to other shingle sets, all of them.
     """
-    return _joined(docs, threshold, tolerance, width)[1].select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+    _, rows, known, total = _labelled(docs, threshold, tolerance, width)
+    found = heavy_join(rows, _named(known, total.classes), ["h1", "h2"], "n_copies", total.rows)
+    return found.select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, with one row of each class of similar texts: that of the least id, of
     several the first stored. Rows without an id come after all others."""
-    stored, found = _joined(docs, threshold, TOLERANCE, WIDTH)
-    found = cut(found.select(*ROW, "doc_id", "label"), "labelled")
+    stored, rows, known, total = _labelled(docs, threshold, TOLERANCE, WIDTH)
+    found = cut(heavy_join(rows, known.select("h1", "h2", "n_copies", "label"), ["h1", "h2"], "n_copies", total.rows).select(*ROW, "doc_id", "label"), "labelled")
+    discard(known)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)
     several = found.groupBy("label").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
-    total = found.count()
-    gone = heavy_join(found, several, ["label"], "n", total).where(~((F.col("first")[ROW[0]] == F.col(ROW[0])) & (F.col("first")[ROW[1]] == F.col(ROW[1])))).select(*ROW)
+    several = cut(several, "several")
+    gone = heavy_join(found, several, ["label"], "n", total.rows).where(~((F.col("first")[ROW[0]] == F.col(ROW[0])) & (F.col("first")[ROW[1]] == F.col(ROW[1])))).select(*ROW)
     _, keyed = with_rows(stored)
     return keyed.join(gone.hint("shuffle_merge"), list(ROW), "left_anti").select(*docs.columns)

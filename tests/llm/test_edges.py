@@ -55,6 +55,17 @@ def test_a_common_form_makes_no_hot_group(spark, parts):
     assert proposed.where("hot").count() == 0 and proposed.count() < 3000
 
 
+def test_plans_of_the_join_are_small(spark, monkeypatch):
+    """A driver of bounded memory plans no query that holds the way to the components once for each place that reads them."""
+    joins, cut = [], jaccard.cut
+    number = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: joins.append(number(df)) or cut(df, name))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    joins.append(number(jaccard.join(docs)))
+    joins.append(number(jaccard.one_of_each(docs)))
+    assert max(joins) <= 10, joins
+
+
 def test_least_members():
     a, b = jaccard.least_members(np.array([5, 7, 9, 2]), np.array([7, 9, 5, 3]))
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 3), (5, 7), (5, 9)]
