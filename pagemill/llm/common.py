@@ -150,7 +150,7 @@ def alnum(points: np.ndarray) -> np.ndarray:
     global _alnum
     if not len(_alnum):
         _alnum = np.fromiter((chr(i).isalnum() for i in range(1 << 17)), dtype=bool, count=1 << 17)
-    return _alnum[np.minimum(points, (1 << 17) - 1)]
+    return np.take(_alnum, points, mode="clip")
 
 
 def _words(text: str) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
@@ -203,6 +203,14 @@ def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
     return mix(out)
 
 
+def run_hashes(h: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` numbers of ``h`` from each of ``begin``, each from two sums over all before it."""
+    up, down = _powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(mix(h) * up[: len(h)], out=total[1:])
+    return mix((total[begin + length] - total[begin]) * down[begin])
+
+
 def tree_parents(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For the members of runs (``start``, ``size``), the place of each one's parent in a binary tree over
     its run, so that a run holds together and no member has more than three neighbours."""

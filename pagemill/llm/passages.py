@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ROW, cut, discard, heavy_join, map_batches, mix, partitions, shingle_hashes, with_rows
+from pagemill.llm.common import ROW, cut, discard, heavy_join, map_batches, mix, partitions, run_hashes, shingle_hashes, with_rows
 
 #: Words of a shingle and of the shortest passage, hash functions, signatures (three of each
 #: function) that must agree, similarity of verified passages.
@@ -75,34 +75,35 @@ _FAR = 1 << 26
 
 def windows(v: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(begin, centre, end) of the Cartesian tree's nodes over ``v`` that span ``least`` or more."""
-    out, open_ = [], [(0, len(v))]
+    out, open_ = [], [(0, len(v))] if len(v) >= least else []
     while open_:
         a, b = open_.pop()
-        if b - a >= least:
-            c = a + int(v[a:b].argmin())
-            out.append((a, c, b))
-            open_ += ((a, c), (c + 1, b))
+        c = a + int(v[a:b].argmin())
+        out.append((a, c, b))
+        if c - a >= least:
+            open_.append((a, c))
+        if b - c > least:
+            open_.append((c + 1, b))
     return out
 
 
 def signatures(h: np.ndarray, functions: int = FUNCTIONS, least: int = LEAST_WORDS - WIDTH + 1) -> tuple[np.ndarray, np.ndarray]:
     """Keys and packed (centre, reach before, reach after, slot) of a text's windows."""
-    keys, packed = [], []
-    half = least // 2
-    for f in range(functions):
-        v = mix(h ^ np.uint64((f + 1) * 0xA24BAED4963EE407 % (1 << 64)))
-        w = windows(v, least)
-        if not w:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        a, c, b = np.array(w, dtype=np.int64).T
-        place = c << (2 * _SIDE + 4) | np.minimum(c - a, _SIDES) << (_SIDE + 4) | np.minimum(b - 1 - c, _SIDES) << 4
-        for side, at in enumerate((c - half, c + least - half - 1)):
-            ok = (at >= a) & (at < b)
-            keys.append(mix(v[c[ok]] * np.uint64(3) + h[at[ok]] + np.uint64(side)))
-            packed.append(place[ok] | (3 * f + side))
-        keys.append(mix(v[c] * np.uint64(3) + np.uint64(2)))
-        packed.append(place | (3 * f + 2))
-    keys, packed = np.concatenate(keys), np.concatenate(packed)
+    if len(h) < least:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    seeds = np.array([(f + 1) * 0xA24BAED4963EE407 % (1 << 64) for f in range(functions)], dtype=np.uint64)
+    v = mix(h[None, :] ^ seeds[:, None])
+    trees = [windows(row, least) for row in v]
+    f = np.repeat(np.arange(functions), [len(w) for w in trees])
+    a, c, b = np.fromiter((x for w in trees for node in w for x in node), dtype=np.int64, count=3 * len(f)).reshape(-1, 3).T
+    place = c << (2 * _SIDE + 4) | np.minimum(c - a, _SIDES) << (_SIDE + 4) | np.minimum(b - 1 - c, _SIDES) << 4 | 3 * f
+    centre, half = v[f, c] * np.uint64(3), least // 2
+    keys, packed = [centre + np.uint64(2)], [place + 2]
+    for side, at in enumerate((c - half, c + least - half - 1)):
+        ok = (at >= a) & (at < b)
+        keys.append(centre[ok] + h[at[ok]] + np.uint64(side))
+        packed.append(place[ok] + side)
+    keys, packed = mix(np.concatenate(keys)), np.concatenate(packed)
     # a text that repeats a few words over and over files their key once: the first window reaches over the run
     order = np.lexsort((packed, keys))
     keys, packed = keys[order], packed[order]
@@ -132,19 +133,11 @@ def _file(key: np.ndarray, node: np.ndarray, packed: np.ndarray) -> pa.RecordBat
     return pa.record_batch([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2]), pa.array(cols[3])], names=["key", "signature", "node", "packed"])
 
 
-def _chained(h: np.ndarray, begin: np.ndarray, least: int) -> np.ndarray:
-    """A hash of the ``least`` shingles from each of ``begin``."""
-    keys = np.zeros(len(begin), dtype=np.uint64)
-    for k in range(least):
-        keys = mix(keys + h[begin + k])
-    return keys
-
-
 def equal_passage(x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, int, int, int] | None:
     """(x0, x1, y0, y1) of the first stretch of ``least`` or more shingles that both have, if any."""
     if min(len(x), len(y)) < least:
         return None
-    kx, ky = (_chained(h.astype(np.uint64), np.arange(len(h) - least + 1), least) for h in (x, y))
+    kx, ky = (run_hashes(h.astype(np.uint64), np.arange(len(h) - least + 1), least) for h in (x, y))
     at = np.flatnonzero(np.isin(kx, ky))
     if not len(at):
         return None
@@ -157,10 +150,11 @@ def equal_passage(x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, int, i
 
 def whole_passages(h: np.ndarray, centres: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and packed places of all passages of ``least`` shingles that hold one of ``centres``."""
-    begin = np.unique((centres[:, None] - np.arange(least)).ravel())
-    begin = begin[(begin >= 0) & (begin <= len(h) - least)]
-    keys = _chained(h, begin, least)
-    return keys, begin << (2 * _SIDE + 4) | (least - 1) << 4
+    edge = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(edge, np.maximum(centres - least + 1, 0), 1)
+    np.add.at(edge, centres + 1, -1)
+    begin = np.flatnonzero(np.cumsum(edge[: max(0, len(h) - least + 1)]))
+    return run_hashes(h, begin, least), begin << (2 * _SIDE + 4) | (least - 1) << 4
 
 
 FILED = "key long, signature long, node long, packed long"
@@ -226,19 +220,19 @@ def contexts(sequences: DataFrame, rest: DataFrame) -> DataFrame:
     seeds = np.array([(7 * d + 3) * 0x9FB21C651E98DF25 % (1 << 64) for d in range(DEALINGS)], dtype=np.uint64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, centre, around, keys = [], [], [], []
+        node, centre, around, keys = [], [], [], [np.zeros(0, dtype=np.int64)]
         for n, s, at in zip(*(batch.column(c).to_pylist() for c in ("node", "s", "centres")), strict=True):
             h = read(s)
-            short = (h >> np.uint64(8 * KEPT - 32)).astype("<u4")
-            mixed = mix(h[None, :] ^ seeds[:, None])
+            short = (h >> np.uint64(8 * KEPT - 32)).astype("<u4").tobytes()
             node += [n] * len(at)
             centre += at
-            for c in at:
-                around.append(short[max(0, c - AROUND) : c + AROUND + 1].tobytes())
-                parts = (max(0, c - AROUND), c + 1), (max(0, c - AROUND // 2), c + AROUND // 2 + 1), (c, c + AROUND + 1)
-                keys.append([int(x) for i, j in parts for x in mixed[:, i:j].min(axis=1).view(np.int64)])
-        cols = (node, pa.int64()), (centre, pa.int64()), (around, pa.binary()), (keys, pa.list_(pa.int64()))
-        return pa.record_batch([pa.array(*c) for c in cols], names=["node", "centre", "around", "keys"])
+            around += [short[4 * max(0, c - AROUND) : 4 * (c + AROUND + 1)] for c in at]
+            c = np.array(at, dtype=np.int64)
+            ends = np.stack([c - AROUND, c + 1, c - AROUND // 2, c + AROUND // 2 + 1, c, c + AROUND + 1], axis=1).clip(0, len(h)).ravel()
+            mixed = np.append(mix(h[None, :] ^ seeds[:, None]), np.zeros((DEALINGS, 1), dtype=np.uint64), axis=1)  # an end may be the text's
+            keys.append(np.minimum.reduceat(mixed, ends, axis=1)[:, ::2].T.ravel().view(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * 3 * DEALINGS), pa.array(np.concatenate(keys)))
+        return pa.record_batch([pa.array(node, pa.int64()), pa.array(centre, pa.int64()), pa.array(around, pa.binary()), lists], names=["node", "centre", "around", "keys"])
 
     return map_batches(_centred(sequences, rest), run, "node long, centre long, around binary, keys array<long>", 64)
 
@@ -250,10 +244,21 @@ def _spread(hits: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return of[hits[first]], last - first + 1, hits[last] - hits[first] + 1
 
 
+def go_on(x: np.ndarray, y: np.ndarray, least: int) -> bool:
+    """Whether ``least`` or more places in a row are equal: what ``matching`` always finds, told sooner."""
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    if not len(differ):
+        return n >= least
+    return max(differ[0], n - 1 - differ[-1]) >= least or bool((differ[1:] - differ[:-1] > least).any())
+
+
 def led(around: list[np.ndarray], need: int, least: int, like: Callable[[np.ndarray, np.ndarray], bool]) -> list[tuple[int, int]]:
     """(leader, member): each text with the first leader that has ``need`` of its elements, spread over
     ``least`` or more of its places, and is ``like`` it; a text without one leads itself. A leader is compared
     with all later texts at once."""
+    if len(around) == 2:
+        return [(0, 1)] if like(*around) else []
     of = np.repeat(np.arange(len(around)), [len(x) for x in around])
     values, at = np.unique(np.concatenate([np.zeros(0, dtype="<u4"), *around]), return_inverse=True)
     shared = np.bincount(np.unique(of * len(values) + at) % max(1, len(values)), minlength=len(values)) > 1
@@ -284,7 +289,7 @@ MET = "signature long, a long, b long, shift long, a0 long, a1 long, b0 long, b1
 
 
 def _meeting(least: int, threshold: float):
-    like = lambda x, y: bool(matching(y, x, least, threshold))
+    like = lambda x, y: go_on(x, y, least) or bool(matching(y, x, least, threshold))
     need = math.ceil(threshold * least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,27 +323,88 @@ def _meeting(least: int, threshold: float):
     return run
 
 
-def with_partners(members: DataFrame, least: int, threshold: float) -> DataFrame:
-    """The ``members`` (signature, node, centre, around) that may be like another of their signature: those with
-    enough shingles, spread over ``least`` or more places, that another one has. No others are like any."""
+ELEMENTS = "signature long, element long, node long, centre long, first long, last long, n long, known boolean"
 
-    def elements(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list[np.ndarray]] = []
+
+def _element_rows(*cols: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in cols], names=[x.split()[0] for x in ELEMENTS.split(", ")])
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task knows of its members (signature, node, centre, around): ``known`` the shingles, their first and last
+    place and their number, that each has in common with another one here; and each shingle of a signature once, of
+    no place and number if it is in a ``known`` row."""
+
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        signature, node, centre = (np.array([x[k] for x in held], dtype=np.int64) for k in range(3))
+        element, first, last, n = (np.concatenate([x[k] for x in held]).astype(np.int64) for k in range(3, 7))
+        of = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
+        order = np.lexsort((element, signature[of]))
+        element, first, last, n, of = element[order], first[order], last[order], n[order], of[order]
+        new = np.append(True, (element[1:] != element[:-1]) | (signature[of[1:]] != signature[of[:-1]]))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(new)))
+        many = np.repeat(size > 1, size)
+        low, high, total = np.full(len(held), _FAR), np.full(len(held), -1), np.zeros(len(held), dtype=np.int64)
+        np.minimum.at(low, of[many], first[many])
+        np.maximum.at(high, of[many], last[many])
+        np.add.at(total, of[many], n[many])
+        own, several = np.flatnonzero(total), size > 1
+        i = of[start]
+        passed = (signature[i], element[start], node[i], centre[i], np.where(several, _FAR, first[start]), np.where(several, -1, last[start]), np.where(several, 0, n[start]), np.zeros(len(start), dtype=bool))
+        known = (signature[own], np.zeros(len(own), dtype=np.int64), node[own], centre[own], low[own], high[own], total[own], np.ones(len(own), dtype=bool))
+        return _element_rows(*map(np.concatenate, zip(passed, known, strict=True)))
+
+    held, number = [], 0
+    for batch in batches:
         for signature, node, centre, around in zip(*(batch.column(c).to_pylist() for c in ("signature", "node", "centre", "around")), strict=True):
             x = np.frombuffer(around, dtype="<u4")
             values, first, n = np.unique(x, return_index=True, return_counts=True)
-            last = len(x) - 1 - np.unique(x[::-1], return_index=True)[1]
-            cols.append([np.full(len(values), v, dtype=np.int64) for v in (signature, node, centre)] + [v.astype(np.int64) for v in (values, first, last, n)])
-        return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["signature", "node", "centre", "element", "first", "last", "n"])
-
-    found = cut(map_batches(members, elements, "signature long, node long, centre long, element long, first long, last long, n long"), "elements")
-    by = ["signature", "element"]
-    shared = cut(found.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    total = shared.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+            held.append((signature, node, centre, values, first, len(x) - 1 - np.unique(x[::-1], return_index=True)[1], n))
+            number += len(values)
+            if number >= FLUSH:
+                yield rows(held)
+                held, number = [], 0
+    if number:
+        yield rows(held)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of shingles that several rows have; they come sorted by (signature, element)."""
+    rest: pa.Table | None = None
+
+    def several(table: pa.Table) -> pa.RecordBatch:
+        cols = [c.to_numpy() for c in table.columns]
+        start = np.flatnonzero(np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))) if len(cols[0]) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(start, len(cols[0])))
+        ok = np.repeat(size > 1, size) & (cols[6] > 0)
+        return _element_rows(*(c[ok] for c in cols))
+
+    for batch in batches:
+        own = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        if own.num_rows:
+            s, e = own.column("signature").to_numpy(), own.column("element").to_numpy()
+            last = int(np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (e[1:] != e[:-1])))[-1])  # it may go on in the next batch
+            rest = own.slice(last)
+            yield several(own.slice(0, last))
+    if rest is not None:
+        yield several(rest)
+
+
+def with_partners(members: DataFrame, least: int, threshold: float) -> DataFrame:
+    """The ``members`` (signature, node, centre, around) that may be like another of their signature: those with
+    enough shingles, spread over ``least`` or more places, that another one has. No others are like any.
+
+    A task sums up what its own members have in common and passes on each shingle of a signature once, so however
+    many members have one, its rows are no more than the tasks, and nothing is joined."""
     key = ["signature", "node", "centre"]
-    may = heavy_join(found, shared, by, "m", total).groupBy(*key).agg(F.sum("n").alias("n"), (F.max("last") - F.min("first") + 1).alias("span"))
+    names = [x.split()[0] for x in ELEMENTS.split(", ")]
+    found = cut(members.mapInArrow(_elements, ELEMENTS), "elements")
+    once = found.where("NOT known").repartition(partitions(members.sparkSession), "signature", "element").sortWithinPartitions("signature", "element")
+    shared = once.mapInArrow(_shared, ELEMENTS).unionByName(found.where("known")).select(names)
+    may = shared.groupBy(*key).agg(F.sum("n").alias("n"), (F.max("last") - F.min("first") + 1).alias("span"))
     out = cut(members.join(may.where((F.col("n") >= math.ceil(threshold * least)) & (F.col("span") >= least)).select(*key).hint("shuffle_merge"), key), "left")
-    discard(found, shared)
+    discard(found)
     return out
 
 
@@ -416,26 +482,39 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def matching(x: np.ndarray, y: np.ndarray, least: int, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float]]:
     """(x0, x1, y0, y1, similarity) of the maximal stretches of ``least`` or more shingles of ``x``
     whose set is similar to that of a stretch of ``y``."""
-    hit = np.isin(x, y)
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if min(len(x), len(y)) == 0:
+        return []
     order = np.argsort(y, kind="stable")
     sorted_y = y[order]
+    place = np.minimum(np.searchsorted(sorted_y, x), len(y) - 1)  # of the first that is equal
+    hit = sorted_y[place] == x
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(begin) or end[-1] - begin[0] < least:
+        return []
+    start, size = _runs(sorted_y)
+    if len(start) == len(x) == len(y) >= least and (x == y).all():
+        return [(0, len(x), 0, len(y), 1.0)]
+    number = np.zeros(len(y), dtype=np.int64)
+    number[start] = size
+    of_y = np.empty(len(y), dtype=np.int64)
+    of_y[order] = np.repeat(start, size)
 
     def verified(a: int, b: int) -> tuple[int, int, int, int, float] | None:
         """The stretch with its counterpart in ``y``: around the shift that most shingles agree on."""
-        low, high = np.searchsorted(sorted_y, x[a:b], "left"), np.searchsorted(sorted_y, x[a:b], "right")
-        own = np.flatnonzero(high - low == 1)
-        own = own if len(own) else np.flatnonzero(high > low)
+        low, found = place[a:b], hit[a:b]
+        own = np.flatnonzero(found & (number[low] == 1))
+        own = own if len(own) else np.flatnonzero(found)
         at = order[low[own]] - own
         near = np.abs(at - np.median(at)) <= 64
         places = order[low[own[near]]] if near.any() else order[low[own[:1]]]
         y0, y1 = int(places.min()), int(places.max()) + 1
         if y1 - y0 < least:  # a text that repeats itself: as many shingles from there on
             y1 = min(len(y), y0 + b - a)
-        sx, sy = np.unique(x[a:b]), np.unique(y[y0:y1])
-        both = len(np.intersect1d(sx, sy, assume_unique=True))
-        similar = both / (len(sx) + len(sy) - both)
+        has_x, has_y = np.zeros(len(y), dtype=bool), np.zeros(len(y), dtype=bool)
+        has_x[low[found]] = has_y[of_y[y0:y1]] = True
+        both = np.count_nonzero(has_x & has_y)
+        similar = both / (np.count_nonzero(has_x) + len(set(x[a:b][~found].tolist())) + np.count_nonzero(has_y) - both)
         return (a, b, y0, y1, similar) if similar >= threshold else None
 
     runs = list(zip(begin.tolist(), end.tolist(), strict=True))

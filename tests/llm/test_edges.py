@@ -142,6 +142,31 @@ def test_members_of_large_groups_all_meet(spark, monkeypatch):
     assert len(found[512] & wanted) >= 0.95 * len(wanted) and found[2] & wanted >= found[512] & wanted
 
 
+def test_partners_in_a_large_group_are_not_joined(spark, monkeypatch):
+    """Those with enough shingles that another one has, as by brute force, from few rows for each shingle that many have."""
+    rng = random.Random(31)
+    form, written, cut = list(range(40)), {}, passages.cut
+    monkeypatch.setattr(passages, "cut", lambda df, name: written.setdefault(name, df.count()) and cut(df, name))
+    members = []
+    for k in range(300):
+        own = form[rng.randrange(25) :] if k % 2 else rng.sample(form, 40)[: rng.randrange(1, 40)]
+        own = [rng.randrange(1 << 30, 1 << 32) for _ in range(rng.randrange(9))] + own + own[: k % 3]
+        members.append((k % 7 // 6, k, k % 5, bytearray(np.array(own, dtype="<u4").tobytes())))
+    members.append((2, 1000, 0, bytearray(np.arange(60, dtype="<u4").tobytes())))
+    df = spark.createDataFrame(members, "signature long, node long, centre long, around binary").repartition(3)
+    counts, wanted = Counter(), set()
+    for signature, *_, x in members:
+        counts.update((signature, v) for v in set(np.frombuffer(x, dtype="<u4").tolist()))
+    for signature, node, centre, x in members:
+        at = [i for i, v in enumerate(np.frombuffer(x, dtype="<u4").tolist()) if counts[signature, v] > 1]
+        if len(at) >= 16 and at[-1] - at[0] + 1 >= 20:
+            wanted.add((signature, node, centre))
+    got = passages.with_partners(df, 20, 0.8)
+    assert {(r.signature, r.node, r.centre) for r in got.collect()} == wanted and 100 < len(wanted) < 300
+    alone = sum(n == 1 for n in counts.values())
+    assert written["elements"] <= 3 * (len(counts) - alone) + alone + len(members)
+
+
 def test_passages_of_rows_and_places(spark):
     """A second copy in one text, rows of one id, rows without id, and a passage beyond 65,535 shingles."""
     rng = random.Random(4)
