@@ -13,13 +13,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 # What counts as light paper, as flat paper and as ink, and how far ink is grown.
 LIGHT, FLAT, INK_DROP, CORE_DROP, LOCAL_DROP, GROWN, RADIUS = 110, 8.0, 25, 50, 10, 2, 3
 LEAST_CORE, WINDOW = 5, (11, 51)
 BLACK = (0, 0, 0)
+#: Bytes of pixels that a worker has as Python values at a time.
+SLICE = 1 << 21
 IMAGE = "page_id string, width int, height int, rgb binary"
 COLOUR = "array<struct<r:int,g:int,b:int>>"
 
@@ -175,16 +180,27 @@ def with_regions(images: DataFrame, regions: DataFrame) -> DataFrame:
     return images.join(boxes, "page_id", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<region_idx:bigint,x1:int,y1:int,x2:int,y2:int>>")))
 
 
-def _per_page(schema: str, one: Callable[[np.ndarray, list], tuple]) -> Column:
-    """``one`` on the pixels and boxes of each page; nulls for a null image."""
-    names = [c.strip().split()[0] for c in schema.split(", ")]
+def sliced(schema: str, one: Callable[..., object]) -> Callable[..., Column]:
+    """A function of columns, the third of them pixels: ``one`` on the values of each row. Spark bounds an Arrow
+    batch to 64 MB; beside it a worker holds the values and results of ``SLICE`` bytes of pixels."""
+    kind = to_arrow_type(DataType.fromDDL(schema))
+
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            n, rgb = len(columns[0]), columns[2]
+            rows = max(1, n * SLICE // max(rgb.nbytes, 1))
+            for k in range(0, max(n, 1), rows):
+                values = zip(*(c.slice(k, rows).to_pylist() for c in columns), strict=True)
+                yield pa.array([one(*v) for v in values], kind)
 
-    @F.pandas_udf(schema)
-    def run(width: pd.Series, height: pd.Series, rgb: pd.Series, boxes: pd.Series) -> pd.DataFrame:
-        rows = [(None,) * len(names) if p is None or b is None else one(pixels(w, h, p), list(b)) for w, h, p, b in zip(width, height, rgb, boxes, strict=True)]
-        return pd.DataFrame(rows, columns=names)
+    return run
 
-    return run("width", "height", "rgb", "boxes")
+
+def _per_page(schema: str, one: Callable[[np.ndarray, list], tuple]) -> Column:
+    """``one`` on the pixels and boxes of each page; nulls for a null image."""
+    none = (None,) * len(schema.split(", "))
+    return sliced(f"struct<{schema}>", lambda w, h, p, b: none if p is None or b is None else one(pixels(w, h, p), b))("width", "height", "rgb", "boxes")
 
 
 def measured(images: DataFrame, regions: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +26,16 @@ def _boxed(images: DataFrame, regions: DataFrame) -> DataFrame:
 def white_background(images: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """White paper everywhere but in the regions, which keep their pixels."""
 
-    @F.pandas_udf("binary")
-    def run(width: pd.Series, height: pd.Series, rgb: pd.Series, boxes: pd.Series) -> pd.Series:
-        out = []
-        for w, h, p, own in zip(width, height, rgb, boxes, strict=True):
-            if p is None:
-                out.append(None)
-                continue
-            w, h = int(w), int(h)
-            page, canvas = P.pixels(w, h, p), np.full((h, w, 3), WHITE, dtype=np.uint8)
-            for b in own if own is not None else ():
-                at = slice(max(b["y1"], 0), b["y2"]), slice(max(b["x1"], 0), b["x2"])
-                canvas[at] = page[at]
-            out.append(canvas.tobytes())
-        return pd.Series(out, dtype=object)
+    def one(w: int, h: int, p: bytes | None, own: list | None) -> bytes | None:
+        if p is None:
+            return None
+        page, canvas = P.pixels(w, h, p), np.full((h, w, 3), WHITE, dtype=np.uint8)
+        for b in own or ():
+            at = slice(max(b["y1"], 0), b["y2"]), slice(max(b["x1"], 0), b["x2"])
+            canvas[at] = page[at]
+        return canvas.tobytes()
 
+    run = P.sliced("binary", one)
     kept = [c for c in images.columns if c != "rgb"]
     return _boxed(images, regions).withColumn("rgb", run("width", "height", "rgb", "boxes")).select(*kept, "rgb"), regions
 
@@ -51,29 +45,24 @@ def stack(images: DataFrame, regions: DataFrame, margin: int = MARGIN, gap: int
     shrunk to it; the page is as high as the regions are before that; a page without regions stays."""
     placed = "array<struct<region_idx:bigint,x1:int,y1:int,x2:int,y2:int,scale:double>>"
 
-    @F.pandas_udf(f"height int, rgb binary, placed {placed}")
-    def run(width: pd.Series, height: pd.Series, rgb: pd.Series, boxes: pd.Series) -> pd.DataFrame:
-        out = []
-        for w, h, p, own in zip(width, height, rgb, boxes, strict=True):
-            if p is None or own is None or not len(own):
-                out.append((None if pd.isna(h) else int(h), p, []))
-                continue
-            w, h = int(w), int(h)
-            page, usable, y, done = P.pixels(w, h, p), max(1, w - 2 * margin), margin, []
-            tall = margin + sum(b["y2"] - b["y1"] + gap for b in own)
-            canvas = np.full((max(tall, margin), w, 3), WHITE, dtype=np.uint8)
-            for b in own:
-                crop = page[b["y1"] : b["y2"], b["x1"] : b["x2"]]
-                wide = crop.shape[1]
-                if wide > usable:
-                    crop = P.area_resized(crop, usable, max(1, round(crop.shape[0] * usable / wide)))
-                part = canvas[y : y + crop.shape[0], margin : margin + crop.shape[1]]
-                part[:] = crop[: part.shape[0], : part.shape[1]]
-                done.append({"region_idx": int(b["region_idx"]), "x1": margin, "y1": y, "x2": margin + crop.shape[1], "y2": y + crop.shape[0], "scale": crop.shape[1] / max(1, wide)})
-                y += crop.shape[0] + gap
-            out.append((len(canvas), canvas.tobytes(), done))
-        return pd.DataFrame(out, columns=["height", "rgb", "placed"])
-
+    def one(w: int, h: int | None, p: bytes | None, own: list | None) -> tuple:
+        if p is None or not own:
+            return h, p, []
+        page, usable, y, done = P.pixels(w, h, p), max(1, w - 2 * margin), margin, []
+        tall = margin + sum(b["y2"] - b["y1"] + gap for b in own)
+        canvas = np.full((max(tall, margin), w, 3), WHITE, dtype=np.uint8)
+        for b in own:
+            crop = page[b["y1"] : b["y2"], b["x1"] : b["x2"]]
+            wide = crop.shape[1]
+            if wide > usable:
+                crop = P.area_resized(crop, usable, max(1, round(crop.shape[0] * usable / wide)))
+            part = canvas[y : y + crop.shape[0], margin : margin + crop.shape[1]]
+            part[:] = crop[: part.shape[0], : part.shape[1]]
+            done.append({"region_idx": int(b["region_idx"]), "x1": margin, "y1": y, "x2": margin + crop.shape[1], "y2": y + crop.shape[0], "scale": crop.shape[1] / max(1, wide)})
+            y += crop.shape[0] + gap
+        return len(canvas), canvas.tobytes(), done
+
+    run = P.sliced(f"struct<height: int, rgb: binary, placed: {placed}>", one)
     made = _boxed(images, regions).withColumn("d", run("width", "height", "rgb", "boxes"))
     kept = [c for c in images.columns if c not in ("height", "rgb")]
     moved = made.select("page_id", F.inline("d.placed"))

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.operators import pixels as P
@@ -154,3 +155,13 @@ def test_columnar_pages(spark):
     assert [tuple(r) for r in got[0].regions] == [(0, 2, 20, 50, "x", "Text", 0.0)] and got[0].meta["doc_category"] == "law"
     with pytest.raises(Exception, match="different lengths"):
         columnar.columnar_pages(df, ["Picture", "Text"], "corpus", skip=2).collect()
+
+
+def test_pages_come_in_slices(spark):
+    """A worker holds the values of few pages of an Arrow batch at a time, and gives all of them back."""
+    side, n = 200, 3 * P.SLICE // (200 * 200 * 3)
+    pages = [bytes([k % 251]) * (side * side * 3) for k in range(n)]
+    batch = (pa.array([side] * n), pa.array([side] * n), pa.array(pages, pa.binary()), pa.nulls(n))
+    out = list(P.sliced("binary", lambda w, h, p, b: p).func(iter([batch])))
+    assert len(out) > 2 and max(o.nbytes for o in out) < 1.1 * P.SLICE
+    assert [p for o in out for p in o.to_pylist()] == pages
