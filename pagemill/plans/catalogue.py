@@ -465,10 +465,9 @@ _TOKENS = f"""t AS (SELECT doc_id, pos, unnest(range(1, len(l) + 1)) AS k, unnes
  SELECT doc_id, pos::BIGINT AS pos, line, count(*) AS tokens FROM f GROUP BY doc_id, pos, line""")
 def q_wrap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens stand on each line of a column 24 em wide."""
-    tokens = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.posexplode(F.regexp_extract_all("line", F.lit(r"(\S+\s?|\s)"), F.lit(1))).alias("k", "token"))
-    wide = typeface.measured(tokens, _metrics(spark, sf_dir), 500, "doc_id", "pos", "k")
-    ordered = wide.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "advance", "kept"))).alias("t"))
-    placed = ordered.select("doc_id", "pos", F.explode(typeface.wrap_lines(F.col("t"), F.lit(24000))).alias("line"))
+    rows = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+    wide = typeface.token_widths(rows, _metrics(spark, sf_dir), 500, "doc_id", "pos")
+    placed = wide.select("doc_id", "pos", F.explode(typeface.wrap_lines(F.col("tokens"), F.lit(24000))).alias("line"))
     return placed.groupBy("doc_id", "pos", "line").agg(F.count("*").alias("tokens"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import fonts, layout, sampling
+from pagemill.operators import fonts, layout, sampling, typeface
 from pagemill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -142,3 +142,17 @@ def test_query(spark, duck, name):
         assert rows == sorted(repr([r[i] for i in at]) for r in found.fetchall())
     else:
         assert rows
+
+
+def test_token_widths(spark):
+    """As tokens cut and measured one by one; lines of a repeated key add up; a token has no row in any shuffle."""
+    lines = ["a b  c", " a\tbb ", "x" * 5 + "ก้ c", "", None, " ", "\t", "a b c", "b" * 40 + " a"]
+    rows = spark.createDataFrame([(k % 7, 0, t) for k, t in enumerate(lines)], "doc_id int, pos long, line string")
+    table = spark.createDataFrame([("a", 700), ("b", 300), (" ", 250), ("ก", 610), ("a", 900)], "char string, advance int")
+    cut = rows.select("doc_id", "pos", F.posexplode(F.regexp_extract_all("line", F.lit(r"(\S+\s?|\s)"), F.lit(1))).alias("k", "token"))
+    want = {(r.doc_id, r.k): (r.advance, r.kept) for r in typeface.measured(cut, table, 500, "doc_id", "k").collect()}
+    found = typeface.token_widths(rows, table, 500, "doc_id", "pos")
+    got = {(r.doc_id, k): tuple(t) for r in found.collect() for k, t in enumerate(r.tokens)}
+    assert got == want
+    plan = catalogue.queries()["q_wrap_metrics"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not any("k#" in part.split("]")[0] for part in plan.split("hashpartitioning(")[1:])
