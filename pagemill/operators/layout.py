@@ -57,18 +57,24 @@ def _union_of(members: list[tuple]) -> tuple:
     return min(m[0] for m in members), min(m[1] for m in members), max(m[2] for m in members), max(m[3] for m in members), text, members[0][5], min(inks, default=0.0)
 
 
-def _folded(regions: DataFrame, order: list[Column], fold: Callable[[list[tuple]], Iterable[list[tuple]]]) -> DataFrame:
+def _folded(regions: DataFrame, order: Callable[[tuple], tuple], fold: Callable[[list[tuple]], Iterable[list[tuple]]], gathered: bool) -> DataFrame:
     """The unions of the groups that ``fold`` makes of each page's regions, numbered as they come. Pages are
-    read one after the other from a sorted partition, so a task holds the regions of one page."""
+    read one after the other from a sorted partition, so a task holds the regions of one page. If ``gathered``,
+    a page's regions stand together already, in one partition, and are not shuffled."""
     kind = regions.schema["page_id"].dataType.simpleString()
-    rows = regions.select("page_id", *[F.col(c).cast("int").alias(c) for c in BOX], "text", "category", F.coalesce(F.col("ink_height").cast("double"), F.lit(0.0)).alias("ink_height"), *[c.alias(f"__{k}") for k, c in enumerate(order)], "region_idx")
-    placed = rows.repartition("page_id").sortWithinPartitions("page_id", *[f"__{k}" for k in range(len(order))], "region_idx").select("page_id", *_FIELDS)
+    placed = regions.select("page_id", *[F.col(c).cast("int").alias(c) for c in BOX], "text", "category", F.coalesce(F.col("ink_height").cast("double"), F.lit(0.0)).alias("ink_height"), "region_idx")
+    if not gathered:
+        placed = placed.repartition("page_id").sortWithinPartitions("page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, held, done = None, [], []
 
+        def ordered(items: list[tuple]) -> list[tuple]:
+            items.sort(key=lambda m: (*order(m), m[7] is not None, m[7]))  # without an index first
+            return [m[:7] for m in items]
+
         def whole() -> pa.RecordBatch:
-            out = [(p, k, *_union_of(g)) for p, items in done for k, g in enumerate(fold(items))]
+            out = [(p, k, *_union_of(g)) for p, items in done for k, g in enumerate(fold(ordered(items)))]
             done.clear()
             cols = zip(*out, strict=True) if out else [[]] * 9
             types = [schema, pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.float64()]
@@ -122,10 +128,11 @@ def _rows_of(items: list[tuple], column_gap: int) -> list[list[tuple]]:
     return out
 
 
-def group_rows(regions: DataFrame, column_gap: int = COLUMN_GAP) -> DataFrame:
+def group_rows(regions: DataFrame, column_gap: int = COLUMN_GAP, gathered: bool = False) -> DataFrame:
     """Words or fragments joined to lines, a page at a time, in order of vertical centre, then of left edge.
-    First fit depends on what rows have become, so this is a fold over the page's sorted regions."""
-    return _folded(regions, [F.col("y1") + F.col("y2"), F.col("x1")], lambda items: _rows_of(items, column_gap))
+    First fit depends on what rows have become, so this is a fold over the page's sorted regions. ``gathered``
+    says that each page's regions stand together in one partition."""
+    return _folded(regions, lambda m: (m[1] + m[3], m[0]), lambda items: _rows_of(items, column_gap), gathered)
 
 
 def _blocks_of(items: list[tuple]) -> list[list[tuple]]:
@@ -149,14 +156,14 @@ def _blocks_of(items: list[tuple]) -> list[list[tuple]]:
     return out
 
 
-def merge_wrapped(regions: DataFrame) -> DataFrame:
+def merge_wrapped(regions: DataFrame, gathered: bool = False) -> DataFrame:
     """Lines of one paragraph joined to a block: each is compared with the last block as it has
     become, and with the height of its last single line."""
-    return _folded(regions, [F.col("y1"), F.col("x1")], _blocks_of)
+    return _folded(regions, lambda m: (m[1], m[0]), _blocks_of, gathered)
 
 
 def normalize(regions: DataFrame) -> DataFrame:
-    return merge_wrapped(group_rows(regions))
+    return merge_wrapped(group_rows(regions), gathered=True)
 
 
 def downscale(regions: DataFrame, width: Column, height: Column, max_side: int = MAX_SIDE) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 WIDTH, HEIGHT = 1025, 1100
+_SLICE = 1 << 20  # bytes of lines that are cut into words at a time
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -58,14 +62,35 @@ def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the lines, 7 pixels a character, with a wide gap after every eighth."""
-    w = Window.partitionBy("doc_id", "pos").orderBy("wpos").rowsBetween(Window.unboundedPreceding, -1)
-    split = lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(F.split("line", " ")).alias("wpos", "word"))
-    x1 = F.lit(40) + F.coalesce(F.sum(F.length("word") * 7 + 7 + F.when(F.col("wpos") % 8 == 7, 40).otherwise(0)).over(w), F.lit(0))
-    rows = split.withColumn("x1", x1).where("word <> ''")
+def page_words(spark: SparkSession, sf_dir: str, gathered: bool = False) -> DataFrame:
+    """Words of the lines, 7 pixels a character, with a wide gap after every eighth; if ``gathered``, those of a
+    page together. Only the texts are shuffled for that, before they are cut into words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if gathered:
+        docs = docs.repartition("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''")
+    split = rows.mapInArrow(_words, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, wpos int, x1 long, word string")
     y1 = 30 + F.col("pos") * 22 + F.floor(F.col("pos") / 5) * 20
-    return rows.select(F.col("doc_id").alias("page_id"), F.col("pos").cast("long").alias("row"), (F.col("pos").cast("long") * 100000 + F.col("wpos")).alias("region_idx"), F.col("x1").cast("long").alias("x1"), y1.cast("long").alias("y1"), (F.col("x1") + F.length("word") * 7).cast("long").alias("x2"), (y1 + 18).cast("long").alias("y2"), F.col("word").alias("text"), F.lit("Text").alias("category"), F.lit(14.0).alias("ink_height"))
+    return split.select(F.col("doc_id").alias("page_id"), F.col("pos").cast("long").alias("row"), (F.col("pos").cast("long") * 100000 + F.col("wpos")).alias("region_idx"), "x1", y1.cast("long").alias("y1"), (F.col("x1") + F.length("word") * 7).cast("long").alias("x2"), (y1 + 18).cast("long").alias("y2"), F.col("word").alias("text"), F.lit("Text").alias("category"), F.lit(14.0).alias("ink_height"))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, pos, wpos, x1, word) of the words of (doc_id, pos, line) that are not empty, in their order: a word
+    begins 7 pixels on for each character before it and 40 for each eight words."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * _SLICE // max(batch.nbytes, 1))
+        for k in range(0, batch.num_rows, rows):
+            part = batch.slice(k, rows)
+            lists = pc.split_pattern(part.column("line"), " ")
+            words, line = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+            first = np.searchsorted(line, np.arange(len(lists)))[line]
+            wide = pc.utf8_length(words).to_numpy().astype(np.int64) + 1
+            before = np.cumsum(wide) - wide
+            wpos = np.arange(len(line)) - first
+            x1 = 40 + (before - before[first]) * 7 + wpos // 8 * 40
+            own = part.select(["doc_id", "pos"]).take(pa.array(line))
+            out = pa.record_batch([*own.columns, pa.array(wpos, pa.int32()), pa.array(x1, pa.int64()), words], names=["doc_id", "pos", "wpos", "x1", "word"])
+            yield out.filter(pc.not_equal(words, ""))
 
 
 _LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
@@ -310,7 +335,7 @@ def q_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
  u AS (SELECT page_id, row, segment, min(x1)::INT AS x1, (30 + row * 22 + row // 5 * 20)::INT AS y1, max(x2)::INT AS x2, (48 + row * 22 + row // 5 * 20)::INT AS y2, {_strip("string_agg(word, ' ' ORDER BY region_idx)")} AS text FROM (SELECT *, text AS word FROM n) GROUP BY page_id, row, segment)
  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY row, segment) - 1 AS region_idx, x1, y1, x2, y2, text, 'Text' AS category, 14.0::DOUBLE AS ink_height FROM u""")
 def q_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.group_rows(page_words(spark, sf_dir))
+    return layout.group_rows(page_words(spark, sf_dir, gathered=True), gathered=True)
 
 
 @query(f"""WITH RECURSIVE {_R}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, region_idx) AS k FROM r),

@@ -156,3 +156,16 @@ def test_token_widths(spark):
     assert got == want
     plan = catalogue.queries()["q_wrap_metrics"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and not any("k#" in part.split("]")[0] for part in plan.split("hashpartitioning(")[1:])
+
+
+def test_pages_gathered(spark, tmp_path):
+    """Words of a page stay together from its text on, so that no word is shuffled; ids may repeat."""
+    texts = [(1, "a  b\n\n x y z"), (2, " ".join("w" * (k % 5) for k in range(40))), (1, "cd e\nf"), (3, None), (4, "")] + [(k, f"only {k}\nrow") for k in range(9, 60)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = catalogue.page_words(spark, str(tmp_path))
+    want = sorted(layout.group_rows(words).collect())
+    plan = catalogue.queries()["q_group_rows"](spark, str(tmp_path))
+    assert sorted(plan.collect()) == want and len(want) > 100
+    assert plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange ") == 1
+    x1 = lambda line: [(40 + sum(len(p) * 7 + 7 for p in line[:k]) + 40 * (k // 8), w) for k, w in enumerate(line) if w]
+    assert sorted((r.page_id, r.row, r.x1, r.text) for r in words.collect()) == sorted((d, row, x, w) for d, t in texts if t for row, line in enumerate(t.split("\n")) for x, w in x1(line.split(" ")))
