@@ -153,9 +153,9 @@ def alnum(points: np.ndarray) -> np.ndarray:
     return np.take(_alnum, points, mode="clip")
 
 
-def _words(text: str) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+def _words(lowered: str) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
     """Where words begin and end in the lower-cased text, and a hash of its spans."""
-    c = codepoints(text.lower())
+    c = codepoints(lowered)
     m = np.zeros(len(c) + 2, dtype=np.int8)
     m[1:-1] = alnum(c)
     edge = np.diff(m)
@@ -168,13 +168,13 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, np.
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash for each maximal run of letters and digits of the lower-cased text."""
-    start, end, hashed = _words(text)
+    start, end, hashed = _words(text.lower())
     return hashed(start, end)
 
 
 def word_and_prefix_hashes(text: str, sizes: tuple[int, ...]) -> np.ndarray:
     """Hashes of the words, and of the beginnings, of so many characters, of longer words."""
-    start, end, hashed = _words(text)
+    start, end, hashed = _words(text.lower())
     out = [hashed(start, end)]
     for n in sizes:
         long = start[end - start > n]
@@ -194,6 +194,10 @@ def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
             return np.zeros(0, dtype=np.uint64)
         c = codepoints(text).astype(np.uint64) + np.uint64(1)
         return mix(np.sum(c * _powers(len(c))[0][: len(c)], dtype=np.uint64, keepdims=True))
+    return _shingled(w, width)
+
+
+def _shingled(w: np.ndarray, width: int) -> np.ndarray:
     n = max(1, len(w) - width + 1)
     out = np.zeros(n, dtype=np.uint64)
     factor = 1
@@ -203,6 +207,36 @@ def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
     return mix(out)
 
 
+def text_slices(texts: list[str], most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """From where to where ``texts`` are no more than ``most`` characters, or a single text."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > most:
+            yield begin, i
+            begin, held = i, 0
+        held += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def shingles_of(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The ``shingle_hashes`` of each of ``texts``, one after the other, and where each one's begin and the last end.
+    All are hashed at once: callers give a slice of texts."""
+    lowered = [text.lower() for text in texts]  # one by one: it may change their lengths
+    start, end, hashed = _words("\n".join(lowered))
+    w = hashed(start, end)
+    number = np.diff(np.searchsorted(start, np.cumsum([len(text) + 1 for text in lowered])), prepend=0)
+    of, size = np.repeat(np.arange(len(texts)), number), np.maximum(number - width + 1, 0)
+    out = _shingled(w, width)[of[: len(of) - width + 1] == of[width - 1 :]] if len(w) >= width else np.zeros(0, dtype=np.uint64)
+    short = np.flatnonzero(size == 0)
+    if len(short):
+        few = [shingle_hashes(texts[i], width) for i in short]
+        n = [len(x) for x in few]
+        out = np.insert(out, np.repeat(np.cumsum(size)[short], n), np.concatenate(few))
+        size[short] = n
+    return out, np.append(0, np.cumsum(size))
+
+
 def run_hashes(h: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
     """A hash of the ``length`` numbers of ``h`` from each of ``begin``, each from two sums over all before it."""
     up, down = _powers(len(h) + 1)

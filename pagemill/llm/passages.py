@@ -10,7 +10,7 @@ enough signatures are verified on the shingles themselves.
 Each window is filed three times: under its centre's shingle alone, which near copies share
 wherever words are put in or left out, and, to make signatures selective, with the shingle half a
 passage before its centre and with the one half a passage after; any exact repeat of the least
-length holds one of the two. Near copies of similarity s share a centre under one of n functions in
+length holds one of the two. A task shuffles them in blobs, one for each part of the keys, not row by row. Near copies of similarity s share a centre under one of n functions in
 a share of 1 - (1 - s) ** n of all cases. Each map task links the members of a large group that it holds
 itself and passes on a few, so that a signature of any frequency reaches the shuffle as a few rows of each
 task; members are linked to the group's least id, never all with all. ``enough`` says how many of a pair's
@@ -47,18 +47,19 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ROW, cut, discard, heavy_join, map_batches, mix, partitions, run_hashes, shingle_hashes, with_rows
+from pagemill.llm.common import ROW, SLICE, cut, discard, heavy_join, map_batches, mix, partitions, run_hashes, shingles_of, text_slices, with_rows
 
 #: Words of a shingle and of the shortest passage, hash functions, signatures (three of each
 #: function) that must agree, similarity of verified passages.
 WIDTH, LEAST_WORDS, FUNCTIONS, ENOUGH, THRESHOLD = 5, 50, 3, 1, 0.8
 #: Members of a task's group that are passed on; rows after which a task passes its groups on.
 PASSED, FLUSH = 6, 1 << 20
+#: Bytes of stored input of which a task holds the filed keys at a time, and the parts that such keys go to at most for it.
+PART, PARTS = 8 << 20, 1 << 14
 #: Members that are compared with each other's leaders in one task, shingles on either side of a centre
 #: that are compared, and min-hashes by which larger groups are dealt.
 MEET, AROUND, DEALINGS = 512, 64, 1
@@ -87,30 +88,73 @@ def windows(v: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(h: np.ndarray, functions: int = FUNCTIONS, least: int = LEAST_WORDS - WIDTH + 1) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and packed (centre, reach before, reach after, slot) of a text's windows."""
-    if len(h) < least:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+def _sliding(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
+    """``f``, the lesser or the greater one, over each ``n`` values in a row."""
+    out, m = x, 1
+    while 2 * m <= n:
+        out, m = f(out[:-m], out[m:]), 2 * m
+    return out if m == n else f(out[: len(x) - n + 1], out[n - m :])
+
+
+def windows_of(v: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``windows`` of all runs of ``v``, each of ``least`` values or more, that begin at ``begin``, whose last is the
+    end: runs, and begins, centres and ends as places in ``v``.
+
+    A node's span holds ``least`` values if it is the least one, the first of equal ones, of so many in a row. So the least
+    values of all such rows are looked for, and each one's span ends at the nearest lesser ones: these are nodes too."""
+    low = np.zeros(len(v) + least - 1, dtype=np.uint64)
+    low[least - 1 : len(v)] = _sliding(v, least, np.minimum)
+    low[(begin[1:-1, None] + np.arange(least - 1)).ravel()] = 0  # rows that reach into the next run
+    at = np.flatnonzero(_sliding(low, least, np.maximum) == v)
+    first = np.searchsorted(at, begin)
+    run = np.repeat(np.arange(len(begin) - 1), np.diff(first))
+    # a stop stands before each run, and after the last one
+    own, stops = np.arange(len(at)) + run + 1, first + np.arange(len(begin))
+    place, value, stop = np.empty(len(at) + len(begin), dtype=np.int64), np.zeros(len(at) + len(begin), dtype=np.uint64), np.ones(len(at) + len(begin), dtype=bool)
+    place[own], place[stops], value[own], stop[own] = at, begin, v[at], False
+
+    def nearest(step: int, passed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        to, left = np.arange(len(place)) + step, own
+        while len(left):
+            x = to[left]
+            left = left[~stop[x] & passed(value[x], value[left])]
+            to[left] = to[to[left]]  # what lies up to there is passed as well
+        return to[own]
+
+    before, after = nearest(-1, np.greater), nearest(1, np.greater_equal)
+    a, b = place[before] + ~stop[before], place[after]
+    ok = b - a >= least
+    return run[ok], a[ok], at[ok], b[ok]
+
+
+def signatures(h: np.ndarray, begin: np.ndarray, functions: int = FUNCTIONS, least: int = LEAST_WORDS - WIDTH + 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, texts and packed (centre, reach before, reach after, slot) of the windows of all texts whose shingles
+    ``h`` are; they begin at ``begin``, whose last is the end."""
+    size = np.diff(begin)
+    texts = np.flatnonzero(size >= least)
+    if not len(texts):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    h, n = h[np.repeat(size >= least, size)], int(size[texts].sum())
+    begin = np.append(0, np.cumsum(size[texts]))
     seeds = np.array([(f + 1) * 0xA24BAED4963EE407 % (1 << 64) for f in range(functions)], dtype=np.uint64)
-    v = mix(h[None, :] ^ seeds[:, None])
-    trees = [windows(row, least) for row in v]
-    f = np.repeat(np.arange(functions), [len(w) for w in trees])
-    a, c, b = np.fromiter((x for w in trees for node in w for x in node), dtype=np.int64, count=3 * len(f)).reshape(-1, 3).T
-    place = c << (2 * _SIDE + 4) | np.minimum(c - a, _SIDES) << (_SIDE + 4) | np.minimum(b - 1 - c, _SIDES) << 4 | 3 * f
-    centre, half = v[f, c] * np.uint64(3), least // 2
-    keys, packed = [centre + np.uint64(2)], [place + 2]
+    v = mix(h[None, :] ^ seeds[:, None]).ravel()
+    run, a, c, b = windows_of(v, np.append((np.arange(functions)[:, None] * n + begin[:-1]).ravel(), functions * n), least)
+    f, text = run // len(texts), run % len(texts)
+    place = c - f * n - begin[text] << (2 * _SIDE + 4) | np.minimum(c - a, _SIDES) << (_SIDE + 4) | np.minimum(b - 1 - c, _SIDES) << 4 | 3 * f
+    centre, half = v[c] * np.uint64(3), least // 2
+    keys, of, packed = [centre + np.uint64(2)], [text], [place + 2]
     for side, at in enumerate((c - half, c + least - half - 1)):
         ok = (at >= a) & (at < b)
-        keys.append(centre[ok] + h[at[ok]] + np.uint64(side))
+        keys.append(centre[ok] + h[at[ok] - f[ok] * n] + np.uint64(side))
+        of.append(text[ok])
         packed.append(place[ok] + side)
-    keys, packed = mix(np.concatenate(keys)), np.concatenate(packed)
+    keys, of, packed = mix(np.concatenate(keys)), texts[np.concatenate(of)], np.concatenate(packed)
     # a text that repeats a few words over and over files their key once: the first window reaches over the run
-    order = np.lexsort((packed, keys))
-    keys, packed = keys[order], packed[order]
+    order = _ordered(keys, of, packed)
+    keys, of, packed = keys[order], of[order], packed[order]
     at = packed >> (2 * _SIDE + 4)
-    go_on = np.zeros(len(keys), dtype=bool)
-    go_on[1:] = (keys[1:] == keys[:-1]) & (at[1:] - at[:-1] < least)
-    return keys[~go_on], packed[~go_on]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]) | (at[1:] - at[:-1] >= least))
+    return keys[new], of[new], packed[new]
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,19 +162,54 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(key)))
 
 
-def _file(key: np.ndarray, node: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
-    """What a task passes on: the first members of each key, and large groups' others in pairs
-    with the first, under keys of their own."""
-    order = np.lexsort((packed, node, key))
-    key, node, packed = key[order], node[order], packed[order]
-    start, size = _runs(key)
+def _ordered(key: np.ndarray, node: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """The order by key, node and packed; most keys occur once."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    several = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(key) else order
+    at = order[several]
+    order[several] = at[np.lexsort((packed[at], node[at], key[at]))]
+    return order
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part, of so many, of each key: parts are ranges of keys."""
+    return ((key >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+
+
+def _planes(cols: list[np.ndarray]) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones, and so on, of each column: high ones are the same."""
+    out = np.empty((8 * len(cols), len(cols[0])), dtype=np.uint8)
+    for i, x in enumerate(cols):
+        out[8 * i : 8 * i + 8] = x.view(np.uint8).reshape(-1, 8).T
+    return out
+
+
+def _columns(texts: list[bytes], n: int) -> np.ndarray:
+    """The ``n`` columns of numbers that planes of bytes are."""
+    planes = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(8 * n, -1) for x in texts], axis=1)
+    return planes.reshape(n, 8, -1).transpose(0, 2, 1).copy().view(np.int64)[..., 0]
+
+
+def _file(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """What a task passes on of the (keys, nodes, packed) that it has ``held``, for each part of the keys: the first
+    members of each key, and large groups' others in pairs with the first."""
+    key, node, packed = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order = _ordered(key, node, packed)
+    start, size = _runs(key[order])
     place = np.arange(len(key)) - np.repeat(start, size)
-    far = np.flatnonzero(place >= PASSED)
-    first = np.repeat(start, size)[far]
-    own = mix(key[far] ^ mix(node[far].view(np.uint64)))
-    go = place < PASSED
-    cols = [np.concatenate([x[go], y, z]) for x, y, z in ((key, own, own), (key, key[far], key[far]), (node, node[far], node[first]), (packed, packed[far], packed[first]))]
-    return pa.record_batch([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2]), pa.array(cols[3])], names=["key", "signature", "node", "packed"])
+    beyond = place >= PASSED
+    near, far, first = order[~beyond], order[beyond], order[np.repeat(start, size)[beyond]]
+    own = _part(mix(key[far] ^ mix(node[far].view(np.uint64))), parts)
+    by_part = np.argsort(own, kind="stable")
+    own, far, first = own[by_part], far[by_part], first[by_part]
+    ends = [np.searchsorted(x, np.arange(parts + 1)) for x in (_part(key[near], parts), own)]
+    planes = _planes([key[near], node[near], packed[near]]), _planes([key[far], node[far], packed[far], node[first], packed[first]])
+    del key, node, packed, order, near, place
+    full = np.flatnonzero((ends[0][1:] > ends[0][:-1]) | (ends[1][1:] > ends[1][:-1]))
+    blobs = [pa.array([x[:, e[k] : e[k + 1]].tobytes() for k in full], pa.binary()) for x, e in zip(planes, ends, strict=True)]
+    return pa.record_batch([pa.array(full), *blobs], names=["part", "near", "far"])
 
 
 def equal_passage(x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, int, int, int] | None:
@@ -157,33 +236,49 @@ def whole_passages(h: np.ndarray, centres: np.ndarray, least: int) -> tuple[np.n
     return run_hashes(h, begin, least), begin << (2 * _SIDE + 4) | (least - 1) << 4
 
 
-FILED = "key long, signature long, node long, packed long"
+FILED = "part long, near binary, far binary"
 
 
-def _filing(file: Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray]]):
-    """Batches with ``node`` to what a task files under the keys that ``file`` gives for a batch's row."""
+def _filing(file: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], parts: int):
+    """Batches to what a task files: (keys, nodes, packed) that ``file`` gives for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for i, node in enumerate(batch.column("node").to_pylist()):
-                k, p = file(batch, i)
-                if len(k):
-                    held.append((k, np.full(len(k), node, dtype=np.int64), p))
-                    n += len(k)
+            for own in file(batch):
+                held.append(own)
+                n += len(own[0])
                 if n >= FLUSH:
-                    yield _file(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, n = [], 0
-        if held:
-            yield _file(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    n = 0
+                    yield _file(held, parts)
+        if n:
+            yield _file(held, parts)
 
     return run
 
 
+def parts_of(df: DataFrame) -> int:
+    """Into how many parts the keys filed from ``df`` go: four or more to a task, which holds one at a time, and, up to
+    ``PARTS``, one for each ``PART`` bytes of the stored tables that ``df`` reads."""
+    n = partitions(df.sparkSession)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return n * max(4, min(PARTS, size // PART) // n)
+
+
 def filed(docs: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS, functions: int = FUNCTIONS) -> DataFrame:
     """The windows of all texts of ``docs`` (node, text) under their signatures."""
-    own = lambda batch, i: signatures(shingle_hashes(batch.column("text")[i].as_py() or "", width), functions, least_words - width + 1)
-    return docs.select("node", "text").mapInArrow(_filing(own), FILED)
+    least = least_words - width + 1
+
+    def own(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for k in range(0, batch.num_rows, SLICE):
+            node = batch.column("node").slice(k, SLICE).to_numpy()
+            texts = [t or "" for t in batch.column("text").slice(k, SLICE).to_pylist()]
+            for i, j in text_slices(texts):
+                keys, of, packed = signatures(*shingles_of(texts[i:j], width), functions, least)
+                yield keys, node[i:j][of], packed
+
+    return docs.select("node", "text").mapInArrow(_filing(own, parts_of(docs)), FILED)
 
 
 def stored(h: np.ndarray) -> bytes:
@@ -207,11 +302,13 @@ def _centred(sequences: DataFrame, rest: DataFrame) -> DataFrame:
 def filed_again(sequences: DataFrame, rest: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS) -> DataFrame:
     """The whole passages around the centres of ``rest`` (node, centre), under their hashes."""
 
-    def own(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-        h = read(batch.column("s")[i].as_py())
-        return whole_passages(h, np.array(batch.column("centres")[i].as_py(), dtype=np.int64), least_words - width + 1)
+    def own(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, node in enumerate(batch.column("node").to_pylist()):
+            h = read(batch.column("s")[i].as_py())
+            keys, packed = whole_passages(h, np.array(batch.column("centres")[i].as_py(), dtype=np.int64), least_words - width + 1)
+            yield keys, np.full(len(keys), node, dtype=np.int64), packed
 
-    return _centred(sequences, rest).mapInArrow(_filing(own), FILED)
+    return _centred(sequences, rest).mapInArrow(_filing(own, parts_of(sequences)), FILED)
 
 
 def contexts(sequences: DataFrame, rest: DataFrame) -> DataFrame:
@@ -455,28 +552,36 @@ def met(sequences: DataFrame, rest: DataFrame, least: int, threshold: float) ->
 LINKED = "signature long, a long, b long, shift long, a0 long, a1 long, b0 long, b1 long, slots long, centre_a long, centre long"
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each member of a key with its first; rows come sorted by (key, node)."""
-    key0, node0, packed0 = None, 0, 0
-    for batch in batches:
-        key, signature, node, packed = (batch[c].to_numpy() for c in ("key", "signature", "node", "packed"))
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member of a key with its first; rows come sorted by part."""
+    names = [x.split()[0] for x in LINKED.split(", ")]
+
+    def links(near: list[bytes], far: list[bytes]) -> pa.RecordBatch:
+        key, node, packed = _columns(near, 3)
+        order = _ordered(key.view(np.uint64), node, packed)
+        order = order[np.repeat(size > 1, size)] if len((size := _runs(key[order])[1])) else order
+        key, node, packed = key[order], node[order], packed[order]
         start, size = _runs(key)
-        lead = start.copy()
-        n, p = node[lead], packed[lead]
-        if key0 is not None and len(key) and key[0] == key0:
-            n[0], p[0] = node0, packed0
-        a, pa_ = np.repeat(n, size), np.repeat(p, size)
-        if len(key):
-            key0, node0, packed0 = key[-1], a[-1], pa_[-1]
-        ok = (a != node) | (pa_ != packed)  # other places of the first are members too
-        if not ok.any():
-            continue
-        a, pa_, b, pb = a[ok], pa_[ok], node[ok], packed[ok]
+        lead = np.repeat(start, size)
+        ok = (node[lead] != node) | (packed[lead] != packed)  # other places of the first are members too
+        signature, b, pb, a, pa_ = (np.concatenate(x) for x in zip((key[ok], node[ok], packed[ok], node[lead[ok]], packed[lead[ok]]), _columns(far, 5), strict=True))
         c = lambda x: x >> (2 * _SIDE + 4)
         before = np.minimum(pa_ >> (_SIDE + 4) & _SIDES, pb >> (_SIDE + 4) & _SIDES)
         after = np.minimum(pa_ >> 4 & _SIDES, pb >> 4 & _SIDES)
         before, after = (np.where(x == _SIDES, _FAR, x) for x in (before, after))  # it reaches on: to the end
-        yield pd.DataFrame({"signature": signature[ok], "a": a, "b": b, "shift": (c(pa_) - c(pb)) >> 5, "a0": c(pa_) - before, "a1": c(pa_) + after + 1, "b0": c(pb) - before, "b1": c(pb) + after + 1, "slots": 1 << (pb & 15), "centre_a": c(pa_), "centre": c(pb)})
+        cols = (signature, a, b, (c(pa_) - c(pb)) >> 5, c(pa_) - before, c(pa_) + after + 1, c(pb) - before, c(pb) + after + 1, 1 << (pb & 15), c(pa_), c(pb))
+        return pa.record_batch([pa.array(x) for x in cols], names=names)
+
+    part, held = None, []
+    for batch in batches:
+        for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "near", "far")), strict=True):
+            if p != part and held:
+                yield links(*zip(*held, strict=True))
+                held = []
+            part = p
+            held.append(row)
+    if held:
+        yield links(*zip(*held, strict=True))
 
 
 def matching(x: np.ndarray, y: np.ndarray, least: int, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float]]:
@@ -546,7 +651,7 @@ SCHEMA = "doc_id long, first_word int, last_word int, other_doc_id long, other_f
 
 def linked(files: DataFrame) -> DataFrame:
     """Each member of a key with its first, intervals aligned at the common shingle."""
-    return files.repartition(partitions(files.sparkSession), "key").sortWithinPartitions("key", "node", "packed").mapInPandas(_linked, LINKED)
+    return files.repartition(partitions(files.sparkSession), "part").sortWithinPartitions("part").mapInArrow(_linked, LINKED)
 
 
 def keyed_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -565,7 +670,12 @@ def sequences_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, s): the shingles of the texts of ``nodes``, in order."""
 
     def sequence(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("node"), pa.array([stored(shingle_hashes(t or "", width)) for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "s"])
+        texts, out = [t or "" for t in batch.column("text").to_pylist()], []
+        for i, j in text_slices(texts):
+            h, begin = shingles_of(texts[i:j], width)
+            s, ends = stored(h), (begin * KEPT).tolist()
+            out += [s[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.record_batch([batch.column("node"), pa.array(out, pa.binary())], names=["node", "s"])
 
     return map_batches(texts.join(nodes.hint("shuffle_merge"), "node", "left_semi"), sequence, "node long, s binary")  # one plan at every size
 

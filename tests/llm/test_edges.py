@@ -1,8 +1,10 @@
 """Repeated and missing ids, long and hot inputs, and figures of the corpus operators."""
 
+import itertools
 import math
 import os
 import random
+import string
 import time
 from collections import Counter
 
@@ -167,6 +169,51 @@ def test_partners_in_a_large_group_are_not_joined(spark, monkeypatch):
     assert written["elements"] <= 3 * (len(counts) - alone) + alone + len(members)
 
 
+def test_hashes_and_windows_of_many_texts():
+    """Those of all texts at once are those of each text."""
+    rng = random.Random(8)
+    texts = ["", "a", "...", "a b c d", "ΑΣ ΣΑΣ", "İ x y z w q", "the " * 90, "", *(" ".join(rng.choices("qwe" if k % 2 else string.ascii_letters, k=rng.randrange(150))) for k in range(60))]
+    assert sorted({j - i for i, j in common.text_slices(texts, 300)}) != [1] and [i for s in common.text_slices(texts, 300) for i in range(*s)] == list(range(len(texts)))
+    h, begin = common.shingles_of(texts)
+    assert [h[a:b].tolist() for a, b in itertools.pairwise(begin)] == [common.shingle_hashes(t).tolist() for t in texts]
+    for least in (2, 3, 46):
+        long = [own for a, b in itertools.pairwise(begin) if len(own := h[a:b]) >= least]
+        edges = np.cumsum([0, *map(len, long)])
+        wanted = [(k, a + edges[k], c + edges[k], b + edges[k]) for k, own in enumerate(long) for a, c, b in passages.windows(own, least)]
+        assert sorted(zip(*(x.tolist() for x in passages.windows_of(np.concatenate(long), edges, least)), strict=True)) == sorted(wanted)
+
+
+def test_filed_windows_are_shuffled_in_few_rows(spark, tmp_path):
+    """Each member of a signature with its first, as by brute force, from a row for each part of the keys."""
+    rng = random.Random(12)
+    same, long = words(rng, 90), words(rng, 300)
+    rows = [*((100 - k, words(rng, k) + same + words(rng, 5 * k)) for k in range(20)), (3, long + long), (9, long[50:]), (4, ["the"] * 120), (5, words(rng, 9)), (6, [])]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "node long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    groups, seeds = {}, [(f + 1) * 0xA24BAED4963EE407 % (1 << 64) for f in range(3)]
+    for i, w in rows:
+        h, own = common.shingle_hashes(" ".join(w)), {}
+        for f, seed in enumerate(seeds):
+            v = common.mix(h ^ np.uint64(seed))
+            for a, c, b in passages.windows(v, 46):
+                for side, at in enumerate((c - 23, c + 22, None)):
+                    if at is None or a <= at < b:
+                        key = int(v[c]) * 3 + side + (0 if at is None else int(h[at]))
+                        own.setdefault(int(common.mix(np.array([key % (1 << 64)], dtype=np.uint64)).view(np.int64)[0]), []).append((c, c - a, b - 1 - c, 3 * f + side))
+        for key, found in own.items():
+            found.sort()
+            groups.setdefault(key, []).extend((i, *x) for k, x in enumerate(found) if not k or x[0] - found[k - 1][0] >= 46)
+    wanted = set()
+    for key, members in groups.items():
+        (a, ca, before, after, _), *others = sorted(members)
+        for b, cb, x, y, slot in others:
+            p, q = min(before, x), min(after, y)
+            wanted.add((key, a, b, (ca - cb) >> 5, ca - p, ca + q + 1, cb - p, cb + q + 1, 1 << slot, ca, cb))
+    files = passages.filed(docs)
+    assert {tuple(r) for r in passages.linked(files).collect()} == wanted and len(wanted) > 300
+    assert files.count() <= passages.parts_of(docs) < len(groups) / 5
+
+
 def test_passages_of_rows_and_places(spark):
     """A second copy in one text, rows of one id, rows without id, and a passage beyond 65,535 shingles."""
     rng = random.Random(4)
